@@ -11,14 +11,15 @@ from runcast.session import BROADCAST_ROWS, materialize
 
 
 def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *,
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           stored: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the columns of a table with one row per key to ``rows``.
 
-    The per-group table is written once, which gives its true row count. Up to
-    ``broadcast_rows`` it is broadcast and ``rows`` never move; beyond that the
-    join is a shuffled one, and adaptive execution splits hot keys.
+    The per-group table is written once (unless it is ``stored`` already), which
+    gives its true row count. Up to ``broadcast_rows`` it is broadcast and
+    ``rows`` never move; beyond that the join is a shuffled one, and adaptive
+    execution splits hot keys.
     """
-    table = materialize(per_group, "per-group")
+    table = per_group if stored else materialize(per_group, "per-group")
     if table.count() <= broadcast_rows:
         table = F.broadcast(table)
     return rows.join(table, list(keys))

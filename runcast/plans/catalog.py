@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from runcast.plans import model_queries  # noqa: F401
+from runcast.plans import design_queries, model_queries  # noqa: F401
 from runcast.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

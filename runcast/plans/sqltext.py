@@ -25,7 +25,7 @@ PROBLEMS = """problems AS (
   FROM part)"""
 
 CANDIDATES = PROBLEMS + """, grid AS (
-  SELECT p.*, CAST(m.machine AS INTEGER) AS machine,
+  SELECT p.*, CAST(m.machine AS INTEGER) AS machine, s.step,
          CAST(min_parts AS DOUBLE) / total_parts
            + s.step * (CAST(max_parts AS DOUBLE) / total_parts - CAST(min_parts AS DOUBLE) / total_parts) / (steps - 1)
            AS fraction
