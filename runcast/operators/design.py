@@ -86,30 +86,29 @@ def column_means(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     return features.groupBy(*keys).agg(*[F.avg(x).alias(f"mean_{x}") for x in DESIGN_TERMS])
 
 
-def _divisor(mean: Column) -> Column:
-    return F.coalesce(F.nullif(mean, F.lit(0.0)), F.lit(1.0))
+def _divisor(mean: str) -> str:
+    return f"coalesce(nullif({mean}, 0D), 1D)"
 
 
 def normalized(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Design terms over their group's mean; a term whose mean is 0 stays as it is."""
     joined = attach(features, column_means(features, keys), keys)
-    scaled = {x: F.col(x) / _divisor(F.col(f"mean_{x}")) for x in DESIGN_TERMS}
+    scaled = {x: F.expr(f"{x} / {_divisor(f'mean_{x}')}") for x in DESIGN_TERMS}
     return joined.withColumns(scaled).drop(*[f"mean_{x}" for x in DESIGN_TERMS])
 
 
-def information(features: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
+def information(features: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Upper triangle of ``sum w x x'`` over mean-scaled terms, the candidate count and the total cost.
 
     The scaling is divided out of the sums, so one pass does and no row is joined.
     """
-    x = [F.col(name) for name in DESIGN_TERMS]
-    sums = [F.sum(weight * x[i] * x[j]).alias(f"m_{i}_{j}")
-            for i, j in combinations_with_replacement(range(6), 2)]
-    means = [F.avg(name).alias(f"mean_{name}") for name in DESIGN_TERMS]
-    grouped = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(weight * F.col("cost")).alias("cost"),
-                                          *sums, *means)
-    scaled = {f"m_{i}_{j}": F.col(f"m_{i}_{j}") / _divisor(F.col(f"mean_x{i}")) / _divisor(F.col(f"mean_x{j}"))
-              for i, j in combinations_with_replacement(range(6), 2)}
+    cells = list(combinations_with_replacement(range(6), 2))
+    sums = [f"sum({weight} * x{i} * x{j}) AS m_{i}_{j}" for i, j in cells]
+    means = [f"avg({x}) AS mean_{x}" for x in DESIGN_TERMS]
+    grouped = features.groupBy(*keys).agg(*[F.expr(s) for s in [
+        "count(1) AS n", f"sum({weight} * cost) AS cost", *sums, *means]])
+    scaled = {f"m_{i}_{j}": F.expr(f"m_{i}_{j} / {_divisor(f'mean_x{i}')} / {_divisor(f'mean_x{j}')}")
+              for i, j in cells}
     return grouped.withColumns(scaled)
 
 
@@ -154,15 +153,12 @@ def optimality_gap(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     candidates with fractional weight.
     """
     features = design_features(weighted)
-    found = objectives(information(features, keys, F.col("weight")))
+    found = objectives(information(features, keys, "weight"))
     joined = attach(features, found.select(*keys, "log_det", "inverse", F.col("cost").alias("spent"),
                                            *[f"mean_x{i}" for i in range(6)]), keys)
-    x = [F.col(f"x{i}") / _divisor(F.col(f"mean_x{i}")) for i in range(6)]
-    lever = None
-    for i in range(6):
-        for j in range(6):
-            entry = F.get("inverse", 6 * i + j) * x[i] * x[j]
-            lever = entry if lever is None else lever + entry
+    scaled = [f"(x{i} / {_divisor(f'mean_x{i}')})" for i in range(6)]
+    lever = F.expr(" + ".join(f"get(inverse, {6 * i + j}) * {scaled[i]} * {scaled[j]}"
+                              for i in range(6) for j in range(6)))
     carried = [c for c in ["weight", "cost", "budget", "spent", "log_det"] if c not in keys]
     levered = materialize(joined.select(*keys, *carried, lever.alias("lever")), "levers")
     partial_weight = F.col("weight") * (1 - F.col("weight"))
@@ -300,7 +296,7 @@ def _weights_in_rounds(problems: DataFrame) -> DataFrame:
     blocks = materialize(_blocks(features), "design-blocks")
     key_types = _types(blocks, PROBLEM)
     state_schema = f"{key_types}, n bigint, {_STATE_SCHEMA}"
-    totals = information(features, PROBLEM, F.lit(1.0))
+    totals = information(features, PROBLEM, "1D")
     states = materialize(totals.mapInPandas(_start_batches, state_schema), "design-states")
     closed = states.where("status != 'running'")
 

@@ -34,14 +34,12 @@ def model_features(runs: DataFrame, keys: Sequence[str], kind: str = "model") ->
 
 def gram_sums(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """X'X (upper triangle), X'y, y'y and the mean of each term over time, per group."""
-    z = [F.col(name) for name in MODEL_TERMS]
-    time = F.col("time")
-    grams = [F.sum(z[i] * z[j]).alias(f"g_{i}_{j}")
-             for i, j in combinations_with_replacement(range(SIZE), 2)]
-    moments = [F.sum(z[i] * time).alias(f"b_{i}") for i in range(SIZE)]
-    ratios = [F.avg(z[i] / F.nullif(time, F.lit(0.0))).alias(f"r_{i}") for i in range(SIZE)]
-    return features.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *grams, *moments, F.sum(time * time).alias("yy"), *ratios)
+    # as text: a column object per product would cost more time than the plan
+    grams = [f"sum(z{i} * z{j}) AS g_{i}_{j}" for i, j in combinations_with_replacement(range(SIZE), 2)]
+    moments = [f"sum({z} * time) AS b_{i}" for i, z in enumerate(MODEL_TERMS)]
+    ratios = [f"avg({z} / nullif(time, 0D)) AS r_{i}" for i, z in enumerate(MODEL_TERMS)]
+    sums = ["count(1) AS n", *grams, *moments, "sum(time * time) AS yy", *ratios]
+    return features.groupBy(*keys).agg(*[F.expr(s) for s in sums])
 
 
 def _moments(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +93,9 @@ def with_nnls(masked: DataFrame) -> DataFrame:
     return masked.mapInPandas(_nnls_batches, _with_array(masked, "coef"))
 
 
-def dot(weights: Column, columns: Sequence[Column]) -> Column:
+def dot(array: str, columns: Sequence[str]) -> Column:
     """Sum of products of an array column's entries with columns."""
-    total = F.get(weights, 0) * columns[0]
-    for place, column in enumerate(columns[1:], start=1):
-        total = total + F.get(weights, place) * column
-    return total
+    return F.expr(" + ".join(f"get({array}, {place}) * {column}" for place, column in enumerate(columns)))
 
 
 def training_error(models: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,7 +104,7 @@ def training_error(models: DataFrame, keys: Sequence[str]) -> DataFrame:
     The mean of a linear prediction over time is the same combination of the
     mean ratios, which the moment pass already holds. Runs with time 0 do not count.
     """
-    mean_ratio = dot(F.col("coef"), [F.col(name) for name in RATIO_COLUMNS])
+    mean_ratio = dot("coef", RATIO_COLUMNS)
     return models.select(*keys, ((mean_ratio - 1.0) * 100.0).alias("error_pct"))
 
 
@@ -119,7 +114,7 @@ def fit_time_models(runs: DataFrame, keys: Sequence[str], *, kind: str = "model"
     grams = gram_sums(model_features(runs, keys, kind), keys)
     masked = with_mask(with_ols(grams)) if select_features else keep_all(grams)
     fitted = with_nnls(masked)
-    mean_ratio = dot(F.col("coef"), [F.col(name) for name in RATIO_COLUMNS])
+    mean_ratio = dot("coef", RATIO_COLUMNS)
     return fitted.select(*keys, "n", "mask", "coef", ((mean_ratio - 1.0) * 100.0).alias("error_pct"))
 
 
@@ -134,7 +129,7 @@ def selected_features(features: DataFrame, masks: DataFrame, keys: Sequence[str]
 def score_runs(features: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``predicted`` to every run."""
     joined = attach(features, models.select(*keys, "coef"), keys)
-    predicted = dot(F.col("coef"), [F.col(name) for name in MODEL_TERMS])
+    predicted = dot("coef", MODEL_TERMS)
     return joined.withColumn("predicted", predicted).drop("coef")
 
 
@@ -149,6 +144,6 @@ def predict_grid(models: DataFrame, keys: Sequence[str], *, machines: int = PRED
     """Predicted time of every model on 1..``machines`` machines."""
     grid = models.select(*keys, "coef", F.explode(F.sequence(F.lit(1), F.lit(machines))).alias("machine"))
     grid = grid.withColumn("cores", F.col("machine") * cores_per_machine)
-    columns = terms(kind, F.col("cores"), F.col("machine"), F.lit(float(fraction)))
-    return grid.select(*keys, "machine", "cores", F.lit(float(fraction)).alias("fraction"),
-                       dot(F.col("coef"), list(columns.values())).alias("time"))
+    grid = grid.withColumn("fraction", F.lit(float(fraction)))
+    grid = grid.withColumns(terms(kind, F.col("cores"), F.col("machine"), F.col("fraction")))
+    return grid.select(*keys, "machine", "cores", "fraction", dot("coef", MODEL_TERMS).alias("time"))

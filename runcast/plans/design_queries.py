@@ -87,7 +87,7 @@ def normalized_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workload, n, round(cost, 7) AS cost, {', '.join(f'round({m}, 7) AS {m}' for m in design.INFORMATION)}
 FROM information""")
 def information_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = design.information(_equal_weights(spark, sf_dir), KEYS, F.col("weight"))
+    found = design.information(_equal_weights(spark, sf_dir), KEYS, "weight")
     return found.select("workload", "n", F.round("cost", 7).alias("cost"),
                         *[F.round(m, 7).alias(m) for m in design.INFORMATION])
 
@@ -97,7 +97,7 @@ SELECT workload, round(any_value({' + '.join(f'ln(p_{i})' for i in range(6))}),
        round(sum(CASE k {' '.join(f'WHEN {i} THEN c_{i}' for i in range(6))} END), 2) AS inverse_trace
 FROM unit GROUP BY workload""")
 def design_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = design.objectives(design.information(_equal_weights(spark, sf_dir), KEYS, F.col("weight")))
+    found = design.objectives(design.information(_equal_weights(spark, sf_dir), KEYS, "weight"))
     return found.select("workload", F.round("log_det", 5).alias("log_det"),
                         F.round("inverse_trace", 2).alias("inverse_trace"))
 

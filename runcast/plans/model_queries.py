@@ -54,7 +54,7 @@ models AS (
 
 
 _MODELS = _nnls_sql(_MASK)
-_ALL_KEPT = _nnls_sql(f"{_GRAMS}, masks AS (SELECT {_GROUPS}, {', '.join(f'TRUE AS k_{i}' for i in _TERMS)} FROM grams)")
+ALL_KEPT = _nnls_sql(f"{_GRAMS}, masks AS (SELECT {_GROUPS}, {', '.join(f'TRUE AS k_{i}' for i in _TERMS)} FROM grams)")
 _PREDICTED = " + ".join(f"coef_{i} * z{i}" for i in _TERMS)
 
 
@@ -117,7 +117,7 @@ def selected_feature_means(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        *[F.round(F.avg(z), 6).alias(z) for z in MODEL_TERMS])
 
 
-@query("nnls_coef", f"{_ALL_KEPT} SELECT {_GROUPS}, {_ROUNDED_COEF} FROM models")
+@query("nnls_coef", f"{ALL_KEPT} SELECT {_GROUPS}, {_ROUNDED_COEF} FROM models")
 def nnls_coef(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = timemodel.fit_time_models(views.runs(spark, sf_dir), KEYS, select_features=False)
     return fitted.select(*KEYS, *_coef_columns())
