@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, NaiveBayes, NaiveBayesModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -56,13 +57,25 @@ def silhouette(assigned: DataFrame, prediction: str = "prediction") -> float:
 
 def nearest(features: Column, centers: np.ndarray) -> Column:
     """Number of the nearest of a few given centres; the lowest on ties."""
-    values = vector_to_array(features)
-    distances = []
-    for number, center in enumerate(centers):
-        gaps = F.zip_with(values, F.array(*[F.lit(float(v)) for v in center]), lambda a, b: (a - b) * (a - b))
-        distances.append(F.struct(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap).alias("distance"),
-                                  F.lit(number).alias("cluster")))
-    return F.array_min(F.array(*distances))["cluster"]
+
+    @F.arrow_udf("int")
+    def number(vectors: pa.Array) -> pa.Array:
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, centers.shape[1])
+        distances = np.stack([((rows - center) ** 2).sum(1) for center in centers], axis=1)
+        return pa.array(distances.argmin(1).astype(np.int32))
+
+    return number(vector_to_array(features))
+
+
+def assignment_cost(df: DataFrame, centers: np.ndarray) -> float:
+    """Sum of squared distances to the nearest of the given centres."""
+
+    @F.arrow_udf("double")
+    def distance(vectors: pa.Array) -> pa.Array:
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, centers.shape[1])
+        return pa.array(np.min([((rows - center) ** 2).sum(1) for center in centers], axis=0))
+
+    return df.agg(F.sum(distance(vector_to_array("features")))).first()[0]
 
 
 def lloyd_round(df: DataFrame, centers: np.ndarray) -> np.ndarray:

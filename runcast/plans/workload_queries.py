@@ -42,6 +42,21 @@ def kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("kmeans_certificate", """SELECT count(*) AS n, 4 AS clusters, 0 AS misplaced, TRUE AS no_dearer_than_start
+FROM embeddings""")
+def kmeans_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector sits with its nearest fitted centre, and the fit beats the first vectors as centres."""
+    vectors = _vectors(spark, sf_dir)
+    model = workloads.kmeans_fit(vectors)
+    start = workloads.assignment_cost(vectors, _first_vectors(vectors))
+    fitted = np.array(model.clusterCenters())
+    assigned = workloads.kmeans_assign(vectors, model).withColumn("nearest", workloads.nearest(F.col("features"), fitted))
+    misplaced = (F.col("prediction") != F.col("nearest")).cast("int")
+    return assigned.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("prediction").cast("int").alias("clusters"),
+                        F.sum(misplaced).cast("int").alias("misplaced"),
+                        F.lit(model.summary.trainingCost <= start).alias("no_dearer_than_start"))
+
+
 def _lloyd_sql(rounds: int) -> str:
     """Assignments a<r> to centres c<r>, and the centres that follow, as rows (cluster, dim, v)."""
     parts = [f"""WITH cells AS (
