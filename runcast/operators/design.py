@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from runcast.functions import optimum, solvers
 from runcast.functions.features import DESIGN_TERMS, design_terms
 from runcast.operators.keyed import attach
-from runcast.session import materialize
+from runcast.session import materialize, spread
 
 # fixed values of a problem row that leaves them out
 DEFAULT_MIN_MACHINES = 1
@@ -70,7 +70,7 @@ def machine_grid(problems: DataFrame) -> DataFrame:
 
 def candidates(problems: DataFrame) -> DataFrame:
     """Every (fraction, machine) with at least one partition per core, and what a run of it costs."""
-    grid = fraction_grid(machine_grid(with_defaults(problems)))
+    grid = fraction_grid(spread(machine_grid(with_defaults(problems))))
     enough = F.rint(F.col("fraction") * F.col("total_parts")) >= F.col("cores_per_machine") * F.col("machine")
     return grid.where(enough).withColumn("cost", F.col("fraction") / _share("min_parts") / F.col("machine"))
 
@@ -121,13 +121,15 @@ def _objective_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         inverse[regular] = np.linalg.inv(full[regular])
         log_det = np.where(regular, np.linalg.slogdet(np.where(regular[:, None, None], full, np.eye(6)))[1], -np.inf)
         trace = np.where(regular, np.einsum("gii->g", inverse), np.inf)
-        yield batch.assign(log_det=log_det, inverse_trace=trace, inverse=list(inverse.reshape(-1, 36)))
+        yield batch.assign(log_det=log_det, inverse_trace=trace, inverse=list(inverse.reshape(-1, 36)),
+                           inverse_squared=list((inverse @ inverse).reshape(-1, 36)))
 
 
 def objectives(informations: DataFrame) -> DataFrame:
-    """Add ``log_det`` (D criterion), ``inverse_trace`` (A criterion) and the ``inverse`` matrix."""
+    """Add ``log_det`` (D criterion), ``inverse_trace`` (A criterion), the ``inverse`` matrix and its square."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in informations.schema.fields]
-    schema = ", ".join([*fields, "log_det double", "inverse_trace double", "inverse array<double>"])
+    schema = ", ".join([*fields, "log_det double", "inverse_trace double", "inverse array<double>",
+                        "inverse_squared array<double>"])
     return informations.mapInPandas(_objective_batches, schema)
 
 
@@ -145,31 +147,32 @@ def constraint_check(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.greatest(spent - F.first("budget"), F.lit(0.0)).alias("budget_violation"))
 
 
-def optimality_gap(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
+def optimality_gap(weighted: DataFrame, keys: Sequence[str], criterion: str = "D") -> DataFrame:
     """Objective, cost and a proven bound on how far the objective is from the best one.
 
-    For any budget price q the best objective exceeds this one by at most
-    ``q B - 6 + sum max(0, d - q c)`` with ``d = x' M^-1 x``; q is read off the
-    candidates with fractional weight.
+    For any budget price q the best objective is better than this one by at
+    most ``q B + sum max(0, d - q c) - sum w d``, where d is ``x' M^-1 x`` for "D"
+    and ``x' M^-2 x`` for "A"; q is read off the candidates with fractional weight.
     """
     features = design_features(weighted)
     found = objectives(information(features, keys, "weight"))
-    joined = attach(features, found.select(*keys, "log_det", "inverse", F.col("cost").alias("spent"),
-                                           *[f"mean_x{i}" for i in range(6)]), keys)
+    leverage, objective = ("inverse", "log_det") if criterion == "D" else ("inverse_squared", "inverse_trace")
+    joined = attach(features, found.select(*keys, F.col(objective).alias("objective"), leverage,
+                                           F.col("cost").alias("spent"), *[f"mean_x{i}" for i in range(6)]), keys)
     scaled = [f"(x{i} / {_divisor(f'mean_x{i}')})" for i in range(6)]
-    lever = F.expr(" + ".join(f"get(inverse, {6 * i + j}) * {scaled[i]} * {scaled[j]}"
+    lever = F.expr(" + ".join(f"get({leverage}, {6 * i + j}) * {scaled[i]} * {scaled[j]}"
                               for i in range(6) for j in range(6)))
-    carried = [c for c in ["weight", "cost", "budget", "spent", "log_det"] if c not in keys]
+    carried = [c for c in ["weight", "cost", "budget", "spent", "objective"] if c not in keys]
     levered = materialize(joined.select(*keys, *carried, lever.alias("lever")), "levers")
-    partial_weight = F.col("weight") * (1 - F.col("weight"))
+    fractional = F.col("weight") * (1 - F.col("weight"))
     price = levered.groupBy(*keys).agg(
-        (F.sum(partial_weight * F.col("lever") / F.col("cost")) / F.nullif(F.sum(partial_weight), F.lit(0.0)))
-        .alias("price"))
+        (F.sum(fractional * F.col("lever") / F.col("cost")) / F.nullif(F.sum(fractional), F.lit(0.0))).alias("price"))
     priced = attach(levered, price.withColumn("price", F.coalesce("price", F.lit(0.0))), keys)
     surplus = F.sum(F.greatest(F.col("lever") - F.col("price") * F.col("cost"), F.lit(0.0)))
-    return priced.groupBy(*keys).agg(
-        F.first("log_det").alias("log_det"), F.first("spent").alias("cost"),
-        F.when(F.first("log_det") > float("-inf"), F.first("price") * F.first("budget") - 6 + surplus).alias("gap"))
+    bound = F.first("price") * F.first("budget") + surplus - F.sum(F.col("weight") * F.col("lever"))
+    regular = F.abs(F.first("objective")) < float("inf")
+    return priced.groupBy(*keys).agg(F.first("objective").alias("objective"), F.first("spent").alias("cost"),
+                                     F.when(regular, bound).alias("gap"))
 
 
 _LOCAL_COLUMNS = ["step", "machine", "fraction", "cost"]
@@ -180,34 +183,36 @@ def _types(df: DataFrame, columns: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def _solve_design(group: pd.DataFrame) -> pd.DataFrame:
+def _solve_design(group: pd.DataFrame, criterion: str) -> pd.DataFrame:
     found, status = optimum.solve(group[DESIGN_TERMS].to_numpy(dtype=float), group["cost"].to_numpy(dtype=float),
-                                  float(group["budget"].iloc[0]))
+                                  float(group["budget"].iloc[0]), criterion)
     return group[[*PROBLEM, *_LOCAL_COLUMNS]].assign(weight=found, status=status)
 
 
-def _weights_whole(problems: DataFrame) -> DataFrame:
-    features = design_features(candidates(problems))
+def _weights_whole(problems: DataFrame, criterion: str) -> DataFrame:
+    features = spread(design_features(candidates(problems)), *PROBLEM)
     schema = f"{_types(features, PROBLEM)}, {_LOCAL_SCHEMA}"
-    return features.groupBy(*PROBLEM).applyInPandas(_solve_design, schema)
+    return features.groupBy(*PROBLEM).applyInPandas(
+        lambda group: _solve_design(group, criterion), schema)
 
 
 # one row per design; arrays are flattened matrices
-_STATE_SCHEMA = ("basis array<double>, points array<double>, point array<double>, step_taken array<double>, "
+_STATE_SCHEMA = ("basis array<double>, root array<double>, points array<double>, point array<double>, step_taken array<double>, "
                  "length double, value double, fall double, mu double, rounds int, status string")
-_STATE_COLUMNS = ["basis", "points", "point", "step_taken", "length", "value", "fall", "mu", "rounds", "status"]
+_STATE_COLUMNS = ["basis", "root", "points", "point", "step_taken", "length", "value", "fall", "mu", "rounds", "status"]
 
 
 def _state_of(row) -> dict:
     points = np.asarray(row.points, dtype=float).reshape(-1, optimum.UNKNOWNS)
-    return {"basis": np.asarray(row.basis, dtype=float).reshape(6, 6), "points": points,
+    return {"basis": np.asarray(row.basis, dtype=float).reshape(6, 6),
+            "root": np.asarray(row.root, dtype=float).reshape(6, 6), "points": points,
             "point": np.asarray(row.point, dtype=float), "step": np.asarray(row.step_taken, dtype=float),
             "length": row.length, "value": row.value, "fall": row.fall, "mu": row.mu, "budget": row.budget,
             "rounds": int(row.rounds), "status": row.status}
 
 
 def _row_of(state: dict) -> list:
-    return [state["basis"].ravel(), np.ravel(state["points"]), state["point"], state["step"], state["length"],
+    return [state["basis"].ravel(), state["root"].ravel(), np.ravel(state["points"]), state["point"], state["step"], state["length"],
             state["value"], state["fall"], state["mu"], state["rounds"], state["status"]]
 
 
@@ -216,29 +221,29 @@ def _with_states(batch: pd.DataFrame, states: list[dict], keep: Sequence[str]) -
     return pd.concat([batch[list(keep)], added], axis=1)
 
 
-def _start_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _start_batches(batches: Iterator[pd.DataFrame], criterion: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
         full = solvers.symmetric(batch[INFORMATION].to_numpy(dtype=float), 6)
         means = batch[[f"mean_x{i}" for i in range(6)]].to_numpy(dtype=float)
         states = []
         for row, matrix, mean in zip(batch.itertuples(index=False), full, means):
-            state = optimum.start(matrix, row.cost, row.budget)
+            state = optimum.start(matrix, row.cost, row.budget, criterion)
             # the blocks hold raw terms: the scaling by means goes into the basis
             state["basis"] = state["basis"] / np.where(mean == 0, 1.0, mean)[:, None]
             states.append(state)
         yield _with_states(batch, states, [*PROBLEM, "n"])
 
 
-def _warm_design(group: pd.DataFrame) -> pd.DataFrame:
+def _warm_design(group: pd.DataFrame, criterion: str) -> pd.DataFrame:
     """Advance a design on a thinned candidate set whose sums stand for all of them."""
     first = group.iloc[[0]]
     state = _state_of(next(first.itertuples(index=False)))
-    x = group[DESIGN_TERMS].to_numpy(dtype=float) @ state["basis"]
+    x = group[DESIGN_TERMS].to_numpy(dtype=float)
     cost = group["cost"].to_numpy(dtype=float)
     share = float(first["n"].iloc[0]) / len(group)
     while state["status"] == "running":
-        sums = share * optimum.candidate_sums(x, cost, state["points"], state["mu"])
-        state = optimum.advance(state, sums, last_mu=WARM_MU)
+        sums = share * optimum.candidate_sums(x @ state["basis"], cost, state["points"], state["mu"])
+        state = optimum.advance(state, sums, last_mu=WARM_MU, criterion=criterion)
     state |= {"status": "running", "value": np.inf, "fall": 0.0, "points": state["point"][None]}
     return _with_states(first, [state], [*PROBLEM, "n"])
 
@@ -257,12 +262,13 @@ def _sum_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[PROBLEM].assign(sums=sums)
 
 
-def _advance_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _advance_batches(batches: Iterator[pd.DataFrame], criterion: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
         states = []
         for row in batch.itertuples(index=False):
             sums = np.asarray(row.sums, dtype=float).reshape(-1, optimum.SUMS)
-            states.append(optimum.advance(_state_of(row), sums, last_mu=ROUNDS_MU, trials=TRIALS))
+            states.append(optimum.advance(_state_of(row), sums, last_mu=ROUNDS_MU, trials=TRIALS,
+                                          criterion=criterion))
         yield _with_states(batch, states, [*PROBLEM, "n"])
 
 
@@ -291,18 +297,19 @@ def _blocks(features: DataFrame) -> DataFrame:
                          F.flatten("entries.terms").alias("terms"))
 
 
-def _weights_in_rounds(problems: DataFrame) -> DataFrame:
+def _weights_in_rounds(problems: DataFrame, criterion: str) -> DataFrame:
     features = design_features(candidates(problems))
     blocks = materialize(_blocks(features), "design-blocks")
     key_types = _types(blocks, PROBLEM)
     state_schema = f"{key_types}, n bigint, {_STATE_SCHEMA}"
     totals = information(features, PROBLEM, "1D")
-    states = materialize(totals.mapInPandas(_start_batches, state_schema), "design-states")
+    states = materialize(totals.mapInPandas(partial(_start_batches, criterion=criterion), state_schema), "design-states")
     closed = states.where("status != 'running'")
 
     place = F.pmod(F.xxhash64("step", "machine"), F.ceil(F.col("n") / WARM_CANDIDATES))
     thinned = attach(features, states.where("status = 'running'"), PROBLEM, stored=True).where(place == 0)
-    states = materialize(thinned.groupBy(*PROBLEM).applyInPandas(_warm_design, state_schema), "design-states")
+    states = materialize(thinned.groupBy(*PROBLEM).applyInPandas(
+        lambda group: _warm_design(group, criterion), state_schema), "design-states")
 
     while True:
         running = states.where("status = 'running'")
@@ -311,7 +318,8 @@ def _weights_in_rounds(problems: DataFrame) -> DataFrame:
         partial_sums = attach(blocks, running, PROBLEM, stored=True).mapInPandas(_sum_batches, f"{key_types}, sums array<double>")
         total = Summarizer.sum(array_to_vector("sums"))
         summed = partial_sums.groupBy(*PROBLEM).agg(vector_to_array(total).alias("sums"))
-        advanced = running.join(summed, PROBLEM).mapInPandas(_advance_batches, state_schema)
+        advanced = running.join(summed, PROBLEM).mapInPandas(
+            partial(_advance_batches, criterion=criterion), state_schema)
         states = materialize(advanced.union(states.where("status != 'running'")), "design-states")
 
     schema = (f"{key_types}, steps_at array<int>, machines_at array<int>, fractions array<double>, "
@@ -333,18 +341,18 @@ def distinct_problems(problems: DataFrame) -> DataFrame:
     return with_defaults(problems).select(*PROBLEM).distinct()
 
 
-def optimal_weights(problems: DataFrame, *, local_candidates: int = LOCAL_CANDIDATES) -> DataFrame:
+def optimal_weights(problems: DataFrame, *, criterion: str = "D", local_candidates: int = LOCAL_CANDIDATES) -> DataFrame:
     """Weight of every candidate of every distinct problem, with the solver's status, as a written table.
 
-    ``status`` is "done", "all" (the budget covers every candidate), "singular"
+    ``criterion`` is "D" or "A". ``status`` is "done", "all" (the budget covers every candidate), "singular"
     (no invertible matrix exists; weights are null) or "stalled".
     """
     shapes = materialize(distinct_problems(problems), "problems")
     most = F.col("steps").cast("bigint") * (F.col("max_machines") - F.col("min_machines") + 1)
-    found = _weights_whole(shapes.where(most <= local_candidates))
+    found = _weights_whole(shapes.where(most <= local_candidates), criterion)
     large = shapes.where(most > local_candidates)
     if not large.isEmpty():
-        found = found.unionByName(_weights_in_rounds(large))
+        found = found.unionByName(_weights_in_rounds(large, criterion))
     return materialize(found.withColumn("weight", F.when(~F.isnan("weight"), F.col("weight"))), "weights")
 
 
@@ -361,11 +369,12 @@ def chosen_runs(weighted: DataFrame, keys: Sequence[str], min_weight: float = MI
     return chosen.orderBy(*keys, F.desc("weight"), "machine", "fraction")
 
 
-def design_runs(problems: DataFrame, keys: Sequence[str], *, local_candidates: int = LOCAL_CANDIDATES) -> DataFrame:
+def design_runs(problems: DataFrame, keys: Sequence[str], *, criterion: str = "D",
+                local_candidates: int = LOCAL_CANDIDATES) -> DataFrame:
     """Design every problem; the solved shapes are joined back to the problems that share them."""
     problems = with_defaults(problems)
-    heavy = optimal_weights(problems, local_candidates=local_candidates).where(F.col("weight") > MIN_WEIGHT)
-    solved = heavy.select(*PROBLEM, "fraction", "machine", "weight")
+    found = optimal_weights(problems, criterion=criterion, local_candidates=local_candidates)
+    solved = found.where(F.col("weight") > MIN_WEIGHT).select(*PROBLEM, "fraction", "machine", "weight")
     return chosen_runs(problems.select(*keys, *PROBLEM).join(solved, PROBLEM), keys)
 
 

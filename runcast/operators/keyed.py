@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runcast.session import BROADCAST_ROWS, materialize
+from runcast.session import BROADCAST_BYTES, materialize, stored_bytes
 
 
 def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], *,
-           stored: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+           stored: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add the columns of a table with one row per key to ``rows``.
 
     The per-group table is written once (unless it is ``stored`` already), which
-    gives its true row count. Up to ``broadcast_rows`` it is broadcast and
-    ``rows`` never move; beyond that the join is a shuffled one, and adaptive
-    execution splits hot keys.
+    gives its true size. Up to ``broadcast_bytes`` it is broadcast and ``rows``
+    never move. Beyond that the join is a shuffled one; adaptive execution is
+    told to split hot keys even where a later step then needs its own exchange.
     """
     table = per_group if stored else materialize(per_group, "per-group")
-    if table.count() <= broadcast_rows:
-        table = F.broadcast(table)
-    return rows.join(table, list(keys))
+    if stored_bytes(table) <= broadcast_bytes:
+        return rows.join(F.broadcast(table), list(keys))
+    rows.sparkSession.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return rows.join(table.hint("merge"), list(keys))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runcast.functions.features import DESIGN_TERMS
 from runcast.operators import design
+from runcast.operators.keyed import attach
 from runcast.plans import sqltext, views
 from runcast.plans.registry import query
 
@@ -47,7 +48,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _features(spark, sf_dir)
     total = rows.groupBy("workload").agg(F.sum("cost").alias("total"))
-    return rows.join(total, "workload").withColumn("weight", F.least(F.lit(1.0), F.col("budget") / F.col("total")))
+    return attach(rows, total, KEYS).withColumn("weight", F.least(F.lit(1.0), F.col("budget") / F.col("total")))
 
 
 @query("candidate_grid", f"""WITH {sqltext.CANDIDATES}
@@ -124,19 +125,35 @@ def design_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.round("weight", 3).alias("weight"))
 
 
-@query("design_certificate", f"""WITH {sqltext.CANDIDATES}
+_CERTIFICATE_SQL = f"""WITH {sqltext.CANDIDATES}
 SELECT workload, count(*) AS n, TRUE AS within_bounds, TRUE AS within_budget, TRUE AS proven_optimal,
        sum(cost) <= any_value(budget) AS takes_all
-FROM candidates GROUP BY workload""")
-def design_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The optimal weights are feasible and proven within ``_GAP_LIMIT`` of the best objective."""
+FROM candidates GROUP BY workload"""
+
+
+def _certificate(spark: SparkSession, sf_dir: str, criterion: str) -> DataFrame:
+    """The optimal weights are feasible and proven within ``_GAP_LIMIT`` of the best objective.
+
+    The limit is absolute for the logarithm of "D" and relative for "A".
+    """
     problems = _problems(spark, sf_dir)
-    shapes = design.optimal_weights(problems)
+    shapes = design.optimal_weights(problems, criterion=criterion)
     counts = shapes.groupBy(*design.PROBLEM).agg(F.count(F.lit(1)).alias("n"),
                                                  F.max(F.col("status") == "all").alias("takes_all"))
     checked = (counts.join(design.constraint_check(shapes, design.PROBLEM), design.PROBLEM)
-               .join(design.optimality_gap(shapes, design.PROBLEM), design.PROBLEM))
+               .join(design.optimality_gap(shapes, design.PROBLEM, criterion), design.PROBLEM))
+    limit = F.lit(_GAP_LIMIT) if criterion == "D" else _GAP_LIMIT * F.col("objective")
     return problems.join(checked, design.PROBLEM).select(
         "workload", "n", (F.col("bound_violation") <= 1e-9).alias("within_bounds"),
         (F.col("budget_violation") <= 1e-9).alias("within_budget"),
-        (F.col("gap") <= _GAP_LIMIT).alias("proven_optimal"), "takes_all")
+        (F.col("gap") <= limit).alias("proven_optimal"), "takes_all")
+
+
+@query("design_certificate", _CERTIFICATE_SQL)
+def design_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _certificate(spark, sf_dir, "D")
+
+
+@query("trace_design_certificate", _CERTIFICATE_SQL)
+def trace_design_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _certificate(spark, sf_dir, "A")

@@ -12,7 +12,7 @@ from runcast.functions.features import MODEL_TERMS
 from runcast.operators import prepare, timemodel
 from runcast.plans import sqltext, views
 from runcast.plans.registry import query
-from runcast.session import scratch_path
+from runcast.session import scratch_path, spread
 from runcast.sources import mldata, runlogs, sinks, synthetic
 
 _LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -27,7 +27,7 @@ def line_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all line items, spread evenly: making a row costs far more than moving an id."""
     lines = views.table(spark, sf_dir, "lineitem")
     ids = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    return prepare.exactly_partitions(ids, spark.sparkContext.defaultParallelism)
+    return spread(ids)
 
 
 @query("libsvm_round_trip", f"""SELECT l_linenumber AS label, count(*) AS n,

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 100_000
+# a table goes to every executor only if its files are smaller than this
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def build_session(app_name: str = "runcast", **conf: str) -> SparkSession:
@@ -51,3 +52,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Size on disk of the files behind a frame that reads them unchanged."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """One partition per core (of the given keys, if any), ahead of work that costs far more than moving the rows.
+
+    The number is explicit because adaptive execution would merge small partitions again.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

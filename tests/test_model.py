@@ -60,7 +60,9 @@ def test_hot_key_join_beyond_the_broadcast_bound(spark):
     from runcast.operators.keyed import attach
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"), "id")
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    small, large = (attach(rows, table, ["k"], broadcast_rows=bound) for bound in (1000, 1))
+    small, large = (attach(rows, table, ["k"], broadcast_bytes=bound) for bound in (1_000_000, 1))
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
 
 

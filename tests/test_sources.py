@@ -92,7 +92,7 @@ def test_small_fraction_in_a_name(spark):
 
 
 def test_libsvm(spark, tmp_path):
-    rows = spark.createDataFrame([(1.0, Vectors.sparse(4, [0, 3], [1.5, -2.0])), (-1.0, Vectors.dense([0, 1, 0, 0]))],
+    rows = spark.createDataFrame([(1.0, Vectors.sparse(4, [0, 3], [1.5, -2.0])), (-1.0, Vectors.sparse(4, [1], [1.0]))],
                                  ["label", "features"])
     path = str(tmp_path / "data")
     mldata.write_libsvm(rows, path)
