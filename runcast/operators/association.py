@@ -12,19 +12,44 @@ from runcast.session import materialize
 
 LEVELS = 4
 GRID_POWER = 0.6
-ACCURACY = 100_000
 
 
-def bin_edges(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, levels: int = LEVELS,
-              accuracy: int = ACCURACY) -> DataFrame:
-    """Upper edges of ``2 ** levels`` equally filled bins per group and column, as arrays ``edges_<column>``.
+def ranked_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pieces: int) -> DataFrame:
+    """Upper edges of ``pieces`` equally filled bins per group and column: ``(feature, edges)``, exact at any size.
 
-    The edges come from mergeable summaries of bounded size, exact up to
-    ``accuracy`` rows per group and within ``1 / accuracy`` of the rank beyond.
+    The value at rank ``ceil(k n / pieces)`` for k = 1.. is found without
+    gathering a group: distinct values are counted, range partitioned (which
+    cuts a hot group by value), and only the partitions that hold a wanted
+    rank are sorted and summed up.
     """
-    shares = [k / 2 ** levels for k in range(1, 2 ** levels)]
-    return df.groupBy(*keys).agg(*[
-        F.percentile_approx(c, shares, accuracy).alias(f"edges_{c}") for c in columns])
+    spark = df.sparkSession
+    group = [*keys, "feature"]
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    counts = df.select(*keys, F.inline(entries)).where(F.col("value").isNotNull()).groupBy(*group, "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialize(counts.repartitionByRange(parts, *group, "value").withColumn("part", F.spark_partition_id()),
+                         "ranged-values")
+    totals = ranged.groupBy(*group, "part").agg(F.sum("n").alias("held"))
+    whole = Window.partitionBy(*group)  # one row per range partition
+    placed = totals.withColumns({"before": F.sum("held").over(whole.orderBy("part")) - F.col("held"),
+                                 "total": F.sum("held").over(whole)})
+    wanted = F.transform(F.sequence(F.lit(1), F.lit(pieces - 1)),
+                         lambda k: F.ceil(k * F.col("total") / F.lit(pieces)) - F.col("before"))
+    wanted = F.filter(wanted, lambda rank: (rank > 0) & (rank <= F.col("held")))
+    holding = placed.select(*group, "part", wanted.alias("ranks")).where(F.size("ranks") > 0)
+    sums = Window.partitionBy(*group, "part").orderBy("value")
+    summed = attach(ranged, holding, [*group, "part"]).withColumn("up_to", F.sum("n").over(sums))
+    hits = F.filter("ranks", lambda rank: (rank > F.col("up_to") - F.col("n")) & (rank <= F.col("up_to")))
+    found = summed.select(*group, "value", F.explode(hits))
+    return found.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("edges"))
+
+
+def bin_edges(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, levels: int = LEVELS) -> DataFrame:
+    """The edges of ``2 ** levels`` bins per group in one row, as arrays ``edges_<column>``."""
+    long = ranked_values(df, keys, columns, 2 ** levels)
+    return long.groupBy(*keys).agg(*[
+        F.first(F.when(F.col("feature") == c, F.col("edges")), ignorenulls=True).alias(f"edges_{c}") for c in columns])
 
 
 def _bin(column: str) -> Column:
@@ -32,13 +57,13 @@ def _bin(column: str) -> Column:
 
 
 def joint_histograms(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, *,
-                     levels: int = LEVELS, accuracy: int = ACCURACY) -> DataFrame:
+                     levels: int = LEVELS) -> DataFrame:
     """Counts per group, column and pair of finest bins ``(feature, bin_x, bin_y, n)``; every row counts.
 
     Rows are first counted per combination of all bins on their own partition,
     so that one row becomes several only after that.
     """
-    edges = bin_edges(df, keys, [*columns, target], levels=levels, accuracy=accuracy)
+    edges = bin_edges(df, keys, [*columns, target], levels=levels)
     binned = attach(df.select(*keys, *columns, target), edges, keys)
     bins = [_bin(c).alias(f"bin_{c}") for c in [*columns, target]]
     cells = binned.select(*keys, *bins).groupBy(*keys, *[f"bin_{c}" for c in [*columns, target]]).agg(
@@ -49,14 +74,14 @@ def joint_histograms(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
 
 
 def information_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, *,
-                       levels: int = LEVELS, accuracy: int = ACCURACY) -> DataFrame:
+                       levels: int = LEVELS) -> DataFrame:
     """Best normalised mutual information over grids ``(feature, score)`` per group.
 
     Grids have 2, 4, .. ``2 ** levels`` equally filled bins on either axis and at
     most ``n ** 0.6`` cells. Coarse bins are unions of fine ones, so all grids
     come from one histogram. An estimate from below: grid lines are not moved.
     """
-    cells = materialize(joint_histograms(df, keys, columns, target, levels=levels, accuracy=accuracy), "histogram")
+    cells = materialize(joint_histograms(df, keys, columns, target, levels=levels), "histogram")
     group = [*keys, "feature"]
     span = F.sequence(F.lit(1), F.lit(levels))
     grids = cells.withColumn("jx", F.explode(span)).withColumn("jy", F.explode(span))

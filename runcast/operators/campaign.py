@@ -52,7 +52,7 @@ def sized_plan(plan: DataFrame) -> DataFrame:
 def with_full_runs(plan: DataFrame) -> DataFrame:
     """Add a full-input companion to every sampled row: each once, and none that the plan already has."""
     full = plan.where(F.col("fraction") != 1).withColumn("fraction", F.lit(1.0)).distinct()
-    return plan.unionByName(full.join(plan, plan.columns, "left_anti"))
+    return plan.unionByName(full.join(plan.where(F.col("fraction") == 1), plan.columns, "left_anti"))
 
 
 def repeated(plan: DataFrame, repeats: int = REPEATS) -> DataFrame:

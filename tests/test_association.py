@@ -47,3 +47,19 @@ def test_against_brute_force(spark):
 def test_every_row_is_counted(spark):
     cells = association.joint_histograms(frame(spark, 999), ["g"], ["x", "noise"], "time")
     assert cells.groupBy("feature").agg(F.sum("n").alias("n")).where("n <> 999").count() == 0
+
+
+def test_edges_with_a_hot_group_and_many_copies(spark):
+    ids = spark.range(30_000)
+    rows = ids.select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 20)).alias("g"),
+                      F.when(F.col("id") % 5 == 0, 7.0).otherwise(F.pmod(F.hash("id"), F.lit(5000)).cast("double")).alias("v"))
+    found = {r["g"]: r["edges"] for r in association.ranked_values(rows, ["g"], ["v"], 16).collect()}
+    for group, part in rows.toPandas().groupby("g"):
+        ordered = np.sort(part["v"].to_numpy())
+        assert found[group] == [ordered[-(-k * len(ordered) // 16) - 1] for k in range(1, 16)]
+
+
+def test_fewer_rows_than_bins(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
+    found = {r["g"]: r["edges"] for r in association.ranked_values(rows, ["g"], ["v"], 4).collect()}
+    assert found == {"a": [1.0, 1.0, 2.0]}
