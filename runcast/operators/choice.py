@@ -31,7 +31,7 @@ def priced(predictions: DataFrame, prices: DataFrame, keys: Sequence[str] = ("in
 
 
 def _least(options: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The least row per key: a partial minimum on every partition, no sort and no collected group."""
+    """The least row per key: every partition keeps its own least rows, only those are shuffled."""
     rest = [c for c in options.columns if c not in (*keys, *order)]
     best = options.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("best"))
     return best.select(*keys, "best.*")

@@ -68,9 +68,13 @@ def machine_grid(problems: DataFrame) -> DataFrame:
     return problems.withColumn("machine", F.explode(F.sequence(F.col("min_machines"), F.col("max_machines"))))
 
 
-def candidates(problems: DataFrame) -> DataFrame:
-    """Every (fraction, machine) with at least one partition per core, and what a run of it costs."""
-    grid = fraction_grid(spread(machine_grid(with_defaults(problems))))
+def candidates(problems: DataFrame, *, large: bool = False) -> DataFrame:
+    """Every (fraction, machine) with at least one partition per core, and what a run of it costs.
+
+    Problems are spread before they fan out; ``large`` ones also between machines and fractions.
+    """
+    machines = machine_grid(spread(with_defaults(problems)))
+    grid = fraction_grid(spread(machines) if large else machines)
     enough = F.rint(F.col("fraction") * F.col("total_parts")) >= F.col("cores_per_machine") * F.col("machine")
     return grid.where(enough).withColumn("cost", F.col("fraction") / _share("min_parts") / F.col("machine"))
 
@@ -298,7 +302,7 @@ def _blocks(features: DataFrame) -> DataFrame:
 
 
 def _weights_in_rounds(problems: DataFrame, criterion: str) -> DataFrame:
-    features = design_features(candidates(problems))
+    features = design_features(candidates(problems, large=True))
     blocks = materialize(_blocks(features), "design-blocks")
     key_types = _types(blocks, PROBLEM)
     state_schema = f"{key_types}, n bigint, {_STATE_SCHEMA}"

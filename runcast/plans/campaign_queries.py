@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from runcast.operators import campaign, stats
 from runcast.plans import views
 from runcast.plans.registry import query
-from runcast.sources import runlogs, sinks
 from runcast.session import scratch_path
+from runcast.sources import runlogs, sinks
 
 # one log line per event: errors print something else, views print the word only
 _CORES = "CAST(2 * (1 + user_id % 16) AS INTEGER)"
@@ -60,6 +60,15 @@ def container_log_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.col("name").cast("bigint").alias("event_id"), "time")
 
 
+@query("result_file_times", """SELECT o_orderkey, o_totalprice AS time FROM orders WHERE o_orderstatus <> 'P'""")
+def result_file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One number per file, blanks around it; files without a number give no row."""
+    content = F.when(F.col("o_orderstatus") == "P", "killed").otherwise(F.concat(F.lit(" "), F.col("o_totalprice")))
+    files = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"),
+                                                        content.alias("value"))
+    return runlogs.parse_result_files(files).select(F.col("name").cast("bigint").alias("o_orderkey"), "time")
+
+
 _NAMES = """SELECT s_suppkey, 2 + s_suppkey % 3 * 2 AS per, 2 + s_suppkey % 7 AS num,
   'type' || CAST(s_nationkey AS VARCHAR) AS instance_type,
   CASE WHEN s_suppkey % 2 = 0 THEN 'Kmn' ELSE 'Nvb' END AS algorithm,

@@ -75,12 +75,17 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_container_logs(files.select(name.alias("name"), "value"))
 
 
-def read_result_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold one number each, named by their run: ``(name, time)``."""
-    lines = spark.read.text(path).select(file_name(F.col("_metadata.file_path")).alias("name"), "value")
+def parse_result_files(lines: DataFrame) -> DataFrame:
+    """One number per ``(name, value)`` row: ``(name, time)``."""
     return lines.select("name", F.trim("value").try_cast("double").alias("time")).dropna()
 
 
+def read_result_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold one number each, named by their run."""
+    return parse_result_files(spark.read.text(path).select(
+        file_name(F.col("_metadata.file_path")).alias("name"), "value"))
+
+
 def parse_run_names(runs: DataFrame, name: str = "name") -> DataFrame:
     """Add the parts of ``TYPE-CORES-NUM-ALGO-PART-DATASET``; CORES and NUM include the master.
 
