@@ -50,8 +50,8 @@ def kmeans_assign(df: DataFrame, model: KMeansModel) -> DataFrame:
     return model.transform(df)
 
 
-def silhouette(assigned: DataFrame, prediction: str = "prediction") -> float:
-    """Mean silhouette under the squared Euclidean distance."""
+def cluster_quality(assigned: DataFrame, prediction: str = "prediction") -> float:
+    """Mean over rows of how much nearer the own cluster is than the next one, from -1 to 1 (squared distances)."""
     return ClusteringEvaluator(predictionCol=prediction).evaluate(assigned)
 
 

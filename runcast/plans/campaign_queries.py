@@ -71,7 +71,7 @@ def result_file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = """SELECT s_suppkey, 2 + s_suppkey % 3 * 2 AS per, 2 + s_suppkey % 7 AS num,
   'type' || CAST(s_nationkey AS VARCHAR) AS instance_type,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'Kmn' ELSE 'Nvb' END AS algorithm,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'Means' ELSE 'Bayes' END AS algorithm,
   CASE WHEN s_suppkey % 5 = 0 THEN '1' ELSE '0.0' || CAST(11 + s_suppkey % 80 AS VARCHAR) END AS part,
   'set-' || CAST(s_nationkey AS VARCHAR) || '.binary' AS dataset FROM supplier"""
 
@@ -84,7 +84,7 @@ def run_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     per, number = 2 + key % 3 * 2, 2 + key % 7
     name = F.concat_ws(
         "-", F.concat(F.lit("type"), F.col("s_nationkey")), (per * number).cast("double").cast("string"),
-        number.cast("double").cast("string"), F.when(key % 2 == 0, "Kmn").otherwise("Nvb"),
+        number.cast("double").cast("string"), F.when(key % 2 == 0, "Means").otherwise("Bayes"),
         F.when(key % 5 == 0, "1").otherwise(F.concat(F.lit("0.0"), (11 + key % 80).cast("string"))),
         F.concat(F.lit("set-"), F.col("s_nationkey"), F.lit(".binary")))
     named = views.table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
@@ -107,7 +107,7 @@ plans AS (
          a.algorithm || '.py' AS program, 'data/' || a.algorithm || '.binary' AS dataset,
          CAST(c.cores * d.factor AS INTEGER) AS cores, CASE WHEN d.factor = 1 THEN share ELSE CAST(1 AS DOUBLE) END AS fraction
   FROM campaigns c CROSS JOIN (VALUES ('small', 1), ('large', 2)) i(instance_type, factor)
-  CROSS JOIN (VALUES ('Kmn'), ('Nvb')) a(algorithm) CROSS JOIN (VALUES (1), (2), (4)) d(factor))"""
+  CROSS JOIN (VALUES ('Means'), ('Bayes')) a(algorithm) CROSS JOIN (VALUES (1), (2), (4)) d(factor))"""
 
 
 def _campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,8 @@ def _campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     text = F.format_string(
         '{"instance_type": [{"name": "small", "cores": %d}, {"name": "large", "cores": %d}],'
-        ' "algorithm": [{"name": "Kmn", "program": "Kmn.py", "dataset": "data/Kmn.binary"},'
-        ' {"name": "Nvb", "program": "Nvb.py", "dataset": "data/Nvb.binary"}],'
+        ' "algorithm": [{"name": "Means", "program": "Means.py", "dataset": "data/Means.binary"},'
+        ' {"name": "Bayes", "program": "Bayes.py", "dataset": "data/Bayes.binary"}],'
         ' "design": [{"cores": %d, "partition": %s}, {"cores": %d, "partition": 1}, {"cores": %d, "partition": 1}]}',
         2 + key % 3 * 2, 4 + key % 3 * 4, 8 + key % 5 * 4, ((1 + key % 9) / F.lit(10.0)).cast("string"),
         16 + key % 5 * 8, 32 + key % 5 * 16)

@@ -88,7 +88,7 @@ def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("vec_id", workloads.nearest(F.col("features"), _first_vectors(vectors)).alias("cluster"))
 
 
-@query("silhouette", """WITH cells AS (
+@query("cluster_quality", """WITH cells AS (
   SELECT vec_id, label, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 norms AS (SELECT vec_id, label, sum(v * v) AS norm FROM cells GROUP BY vec_id, label),
 clusters AS (SELECT label AS cluster, count(*) AS n, sum(norm) AS norms FROM norms GROUP BY label),
@@ -102,11 +102,11 @@ sides AS (
          max(CASE WHEN label = cluster THEN total / nullif(n - 1, 0) END) AS own,
          min(CASE WHEN label <> cluster THEN total / n END) AS other
   FROM distances GROUP BY vec_id)
-SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (other - own) / greatest(other, own) END), 6) AS silhouette FROM sides""")
-def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (other - own) / greatest(other, own) END), 6) AS quality FROM sides""")
+def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given labels taken as clusters."""
-    value = workloads.silhouette(_vectors(spark, sf_dir), prediction="label")
-    return spark.createDataFrame([(value,)], "silhouette double").select(F.round("silhouette", 6).alias("silhouette"))
+    value = workloads.cluster_quality(_vectors(spark, sf_dir), prediction="label")
+    return spark.createDataFrame([(value,)], "quality double").select(F.round("quality", 6).alias("quality"))
 
 
 def _time_by_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

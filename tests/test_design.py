@@ -14,7 +14,7 @@ KNOWN = {
     (2, 0.011719): 1, (2, 0.029427): 0.740174, (12, 0.051562): 0.486187, (4, 0.020573): 0.391371,
     (16, 0.073698): 0.379453, (2, 0.078125): 0.283002, (8, 0.029427): 0.162533,
 }
-# a published plan for comparison: (cores, fraction), sampled runs only
+# fixed values: a plan drawn up elsewhere with unstated parameters, for a soft comparison
 PLAN = [(16, 0.069271), (12, 0.047135), (16, 0.064844), (10, 0.038281), (2, 0.011719), (4, 0.016146), (2, 0.029427),
         (4, 0.020573), (8, 0.029427), (10, 0.042708), (16, 0.073698), (2, 0.078125), (4, 0.078125)]
 

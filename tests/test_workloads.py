@@ -48,7 +48,7 @@ def test_regression_is_found_again(spark):
 def test_kmeans_finds_the_clouds(spark, clouds):
     model = workloads.kmeans_fit(clouds)
     assigned = workloads.kmeans_assign(clouds, model)
-    assert workloads.silhouette(assigned) > 0.5
+    assert workloads.cluster_quality(assigned) > 0.5
     own = workloads.nearest(F.col("features"), np.array(model.clusterCenters()))
     assert assigned.where(own != F.col("prediction")).count() == 0
     assert workloads.kmeans_centers(clouds, model).count() == 200
