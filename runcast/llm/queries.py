@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runcast.llm import jump_shards, quality_rules, raking
+from runcast.llm import (jump_shards, quality_rules, raking, secret_ownership, simhash_groups,
+                         suffix_decontamination, url_verdicts)
 from runcast.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.sharded_documents(read_table(spark, sf_dir, "documents"))
 
@@ -20,15 +25,34 @@ def op5_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mixed_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ownership.secret_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts.judged_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = suffix_decontamination.find_matches(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return matches.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged_documents(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    function.__name__: function for function in (op4_jump_shards, op5_raked_mixture, op10_quality_rules)
+    function.__name__: function
+    for function in (op1_simhash_groups, op4_jump_shards, op5_raked_mixture, op6_secret_ownership, op7_url_verdicts,
+                     op8_suffix_decontamination, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jump_shards": jump_shards.oracle(),
     "op5_raked_mixture": raking.oracle(),
+    "op6_secret_ownership": secret_ownership.ORACLE,
+    "op7_url_verdicts": url_verdicts.ORACLE,
+    "op8_suffix_decontamination": suffix_decontamination.ORACLE,
 }
