@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runcast.llm import (jump_shards, quality_rules, raking, secret_ownership, simhash_groups,
+from runcast.llm import (jump_shards, page_difference, quality_rules, raking, secret_ownership, simhash_groups,
                          suffix_decontamination, url_verdicts)
 from runcast.llm.common import read_table
 
@@ -39,6 +39,10 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_difference.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged_documents(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     function.__name__: function
     for function in (op1_simhash_groups, op4_jump_shards, op5_raked_mixture, op6_secret_ownership, op7_url_verdicts,
-                     op8_suffix_decontamination, op10_quality_rules)
+                     op8_suffix_decontamination, op9_page_difference, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
