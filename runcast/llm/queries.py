@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runcast.llm import (jump_shards, page_difference, quality_rules, raking, secret_ownership, simhash_groups,
+from runcast.llm import (attention_quality, context_tree, jump_shards, page_difference, quality_rules, raking, secret_ownership, simhash_groups,
                          suffix_decontamination, url_verdicts)
 from runcast.llm.common import read_table
 
@@ -17,6 +17,15 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_quality.scored_documents(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.sharded_documents(read_table(spark, sf_dir, "documents"))
 
@@ -47,11 +56,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {
-    function.__name__: function
-    for function in (op1_simhash_groups, op4_jump_shards, op5_raked_mixture, op6_secret_ownership, op7_url_verdicts,
-                     op8_suffix_decontamination, op9_page_difference, op10_quality_rules)
-}
+QUERIES: dict[str, Query] = {function.__name__: function for function in (
+    op1_simhash_groups, op2_context_tree, op3_attention_quality, op4_jump_shards, op5_raked_mixture, op6_secret_ownership,
+    op7_url_verdicts, op8_suffix_decontamination, op9_page_difference, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jump_shards": jump_shards.oracle(),
