@@ -45,10 +45,9 @@ def margin_targets(cells: DataFrame, dim: str, shares: Mapping[str, float] | flo
         wanted = F.when(F.col("own") > 0, F.pow("own", F.lit(float(shares)))).otherwise(F.lit(0.0))
         named = F.lit(True)
     own = own.withColumn("wanted", wanted)
-    total = own.agg(F.sum(F.when(named, F.col("own"))).alias("_own"), F.sum("wanted").alias("_wanted"))
-    target = F.when(named & (F.col("_wanted") > 0), F.col("_own") * F.col("wanted") / F.col("_wanted"))
-    # total is one row
-    return own.crossJoin(F.broadcast(total)).select(dim, F.coalesce(target, F.col("own")).alias("target"))
+    held, asked = own.agg(F.sum(F.when(named, F.col("own"))), F.sum("wanted")).first()
+    target = F.when(named, F.lit(held) * F.col("wanted") / F.lit(asked)) if asked else F.lit(None)
+    return own.select(dim, F.coalesce(target, F.col("own")).alias("target"))
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
