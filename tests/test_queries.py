@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+from runcast.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # a shuffle-free product of two tables never belongs in a plan of ours
@@ -17,7 +18,7 @@ def tables():
     return check.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, tables, name):
     result = contract.queries()[name](spark, SF_DIR)
     plan = result._jdf.queryExecution().executedPlan().toString()
