@@ -50,9 +50,17 @@ def sized_plan(plan: DataFrame) -> DataFrame:
 
 
 def with_full_runs(plan: DataFrame) -> DataFrame:
-    """Add a full-input companion to every sampled row: each once, and none that the plan already has."""
-    full = plan.where(F.col("fraction") != 1).withColumn("fraction", F.lit(1.0)).distinct()
-    return plan.unionByName(full.join(plan.where(F.col("fraction") == 1), plan.columns, "left_anti"))
+    """Add a full-input companion to every sampled row: each once, and none that the plan already has.
+
+    One pass: every row and its companion are counted together, and grouping takes nulls as equal. A row
+    without a fraction has no companion.
+    """
+    others = [c for c in plan.columns if c != "fraction"]
+    own = F.struct(F.col("fraction"), F.lit(1).alias("own"))
+    full = F.struct(F.lit(1.0).alias("fraction"), F.lit(0).alias("own"))
+    paired = plan.select(*others, F.inline(F.when(F.col("fraction") != 1, F.array(own, full)).otherwise(F.array(own))))
+    counted = paired.groupBy(*plan.columns).agg(F.greatest(F.sum("own"), F.lit(1)).alias("_rows"))
+    return counted.select(*plan.columns, F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_row")).drop("_row")
 
 
 def repeated(plan: DataFrame, repeats: int = REPEATS) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +17,15 @@ def transfer_factors(runs: DataFrame, base_scored: str, keys: Sequence[str]) ->
 
 
 def transferred(base_predictions: DataFrame, factors: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Base predictions times the factor of every instance type of the same workload."""
-    return base_predictions.join(factors, list(keys)).withColumn("time", F.col("time") * F.col("factor"))
+    """Base predictions times the factor of every instance type of the same workload.
+
+    A workload without a factor keeps its rows, with a null time. Null keys match.
+    """
+    own = {key: f"_{key}_of_factor" for key in keys}
+    renamed = factors.select(*[F.col(c).alias(own.get(c, c)) for c in factors.columns])
+    same = reduce(and_, [base_predictions[key].eqNullSafe(renamed[own[key]]) for key in keys])
+    joined = base_predictions.join(renamed, same, "left").drop(*own.values())
+    return joined.withColumn("time", F.col("time") * F.col("factor"))
 
 
 def run_price(time: Column, machine: Column, hourly_price: Column) -> Column:
@@ -25,8 +34,11 @@ def run_price(time: Column, machine: Column, hourly_price: Column) -> Column:
 
 
 def priced(predictions: DataFrame, prices: DataFrame, keys: Sequence[str] = ("instance_type",)) -> DataFrame:
-    """Add ``cost`` from a price table ``(instance_type, hourly_price)``."""
-    joined = predictions.join(prices, list(keys))
+    """Add ``cost`` from a price table ``(instance_type, hourly_price)``; null where no price is known.
+
+    A configuration without a cost is left out by the choices below, not here.
+    """
+    joined = predictions.join(prices, list(keys), "left")
     return joined.withColumn("cost", run_price(F.col("time"), F.col("machine"), F.col("hourly_price")))
 
 
@@ -38,8 +50,8 @@ def _least(options: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def cheapest_within_deadline(options: DataFrame, keys: Sequence[str], deadline: float | Column) -> DataFrame:
-    """Least cost among configurations whose time keeps the deadline; ties by time, then machines."""
-    return _least(options.where(F.col("time") <= deadline), keys, ["cost", "time", "machine"])
+    """Least cost among configurations with a cost whose time keeps the deadline; ties by time, then machines."""
+    return _least(options.where((F.col("time") <= deadline) & F.col("cost").isNotNull()), keys, ["cost", "time", "machine"])
 
 
 def fastest_within_budget(options: DataFrame, keys: Sequence[str], budget: float | Column) -> DataFrame:

@@ -311,7 +311,7 @@ def _weights_in_rounds(problems: DataFrame, criterion: str) -> DataFrame:
     closed = states.where("status != 'running'")
 
     place = F.pmod(F.xxhash64("step", "machine"), F.ceil(F.col("n") / WARM_CANDIDATES))
-    thinned = attach(features, states.where("status = 'running'"), PROBLEM, stored=True).where(place == 0)
+    thinned = attach(features, states.where("status = 'running'"), PROBLEM, stored=True, how="inner").where(place == 0)
     states = materialize(thinned.groupBy(*PROBLEM).applyInPandas(
         lambda group: _warm_design(group, criterion), state_schema), "design-states")
 
@@ -319,7 +319,7 @@ def _weights_in_rounds(problems: DataFrame, criterion: str) -> DataFrame:
         running = states.where("status = 'running'")
         if running.isEmpty():
             break
-        partial_sums = attach(blocks, running, PROBLEM, stored=True).mapInPandas(_sum_batches, f"{key_types}, sums array<double>")
+        partial_sums = attach(blocks, running, PROBLEM, stored=True, how="inner").mapInPandas(_sum_batches, f"{key_types}, sums array<double>")
         total = Summarizer.sum(array_to_vector("sums"))
         summed = partial_sums.groupBy(*PROBLEM).agg(vector_to_array(total).alias("sums"))
         advanced = running.join(summed, PROBLEM).mapInPandas(

@@ -126,9 +126,9 @@ def selected_features(features: DataFrame, masks: DataFrame, keys: Sequence[str]
     return joined.select(*keys, "time", *kept)
 
 
-def score_runs(features: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``predicted`` to every run."""
-    joined = attach(features, models.select(*keys, "coef"), keys)
+def score_runs(features: DataFrame, models: DataFrame, keys: Sequence[str], *, stored: bool = False) -> DataFrame:
+    """Add ``predicted`` to every run; null where its group has no model. ``stored`` models are a written table."""
+    joined = attach(features, models.select(*keys, "coef"), keys, stored=stored)
     predicted = dot("coef", MODEL_TERMS)
     return joined.withColumn("predicted", predicted).drop("coef")
 

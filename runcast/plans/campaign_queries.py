@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runcast.operators import campaign, stats
@@ -12,66 +12,75 @@ from runcast.session import scratch_path
 from runcast.sources import runlogs, sinks
 
 # one log line per event: errors print something else, views print the word only
-_CORES = "CAST(2 * (1 + user_id % 16) AS INTEGER)"
+_CORES = "CAST(2 * (1 + user_id % 8) AS INTEGER)"
 _LOGGED = "FROM events WHERE event_type NOT IN ('error', 'view')"
 
 
-def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples read back from log files, one per configuration and script."""
     events = views.table(spark, sf_dir, "events")
-    cores = (2 * (1 + F.col("user_id") % 16)).cast("int")
+    cores = (2 * (1 + F.col("user_id") % 8)).cast("int")
     name = F.concat(F.concat_ws("-", cores.cast("string"), (1 / (1 + F.col("user_id") % 4)).cast("string"),
                                 F.col("event_type")), F.lit(".py"))
     line = (F.when(F.col("event_type") == "error", F.concat(F.lit("lost executor "), F.col("value")))
             .when(F.col("event_type") == "view", F.lit("time: none"))
             .otherwise(F.concat(F.lit("time: "), F.col("value"))))
-    return events.select(name.alias("name"), line.alias("value"))
+    path = scratch_path(spark, "run-logs")
+    sinks.write_run_texts(events.select(name.alias("run"), line.alias("value")), path)
+    return runlogs.read_run_logs(spark, path)
 
 
 @query("run_log_means", f"""SELECT {_CORES} AS cores, round(CAST(1 AS DOUBLE) / (1 + user_id % 4), 9) AS fraction,
        event_type || '.py' AS script, count(*) AS repeats, round(avg(value), 6) AS time
 {_LOGGED} GROUP BY ALL""")
 def run_log_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = runlogs.parse_run_logs(_log_lines(spark, sf_dir))
-    means = stats.mean_times(samples, ["cores", "fraction", "script"])
+    means = stats.mean_times(_run_logs(spark, sf_dir), ["cores", "fraction", "script"])
     return means.withColumns({"time": F.round("time", 6), "fraction": F.round("fraction", 9)})
 
 
-@query("appended_results", f"""SELECT {_CORES} AS cores, count(DISTINCT user_id % 4) * 2 AS lines
+@query("appended_results", f"""SELECT {_CORES} AS cores, round(CAST(1 AS DOUBLE) / (1 + user_id % 4), 9) AS fraction,
+       round(avg(value), 6) AS time, CAST(2 AS BIGINT) AS lines
 {_LOGGED} GROUP BY ALL""")
 def appended_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Averaged results appended twice to the same CSV folder."""
+    """Averaged results appended twice to the same CSV folder: every line is there twice."""
     path = scratch_path(spark, "results")
-    means = stats.mean_times(runlogs.parse_run_logs(_log_lines(spark, sf_dir)), ["cores", "fraction"])
+    means = stats.mean_times(_run_logs(spark, sf_dir), ["cores", "fraction"])
     for _ in range(2):
         sinks.append_results(means, path)
     read = spark.read.schema("cores int, fraction double, time double").csv(path)
-    return read.groupBy("cores").agg(F.count(F.lit(1)).alias("lines"))
+    return read.groupBy("cores", F.round("fraction", 9).alias("fraction"), F.round("time", 6).alias("time")).agg(
+        F.count(F.lit(1)).alias("lines"))
 
 
-@query("container_log_times", f"""SELECT event_id, value AS time {_LOGGED}""")
+@query("container_log_times", """SELECT 'nation ' || CAST(c_nationkey AS VARCHAR) AS name, arg_min(c_acctbal, c_custkey) AS time
+FROM customer GROUP BY c_nationkey HAVING min(c_custkey) % 4 <> 1""")
 def container_log_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole logs whose first line holds the time; later lines do not count."""
-    first = (F.when(F.col("event_type") == "error", F.lit("lost executor"))
-             .when(F.col("event_type") == "view", F.lit("time: none"))
-             .otherwise(F.concat(F.lit("time: "), F.col("value"), F.lit(" "))))
-    files = views.table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("name"), F.concat(first, F.lit("\ntime: 99999\nbye: 7")).alias("value"))
-    parsed = runlogs.parse_container_logs(files)
-    return parsed.select(F.col("name").cast("bigint").alias("event_id"), "time")
-
-
-@query("result_file_times", """SELECT o_orderkey, o_totalprice AS time FROM orders WHERE o_orderstatus <> 'P'""")
+    """Gzip logs of many lines, of which only the first counts; some logs begin with something else."""
+    other = F.when(F.col("c_custkey") % 4 == 1, F.lit("lost executor"))
+    line = F.coalesce(other, F.concat(F.lit("time: "), F.col("c_acctbal"), F.lit(" ")))
+    customers = views.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("nation "), F.col("c_nationkey")).alias("run"), "c_custkey", line.alias("value"))
+    path = scratch_path(spark, "container-logs")
+    sinks.write_run_texts(customers, path, ["c_custkey"], compression="gzip")
+    return runlogs.read_container_logs(spark, path)
+
+
+@query("result_file_times", """SELECT o_orderpriority || ' ' || o_orderstatus AS name, max(o_totalprice) AS time
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")
 def result_file_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One number per file, blanks around it; files without a number give no row."""
-    content = F.when(F.col("o_orderstatus") == "P", "killed").otherwise(F.concat(F.lit(" "), F.col("o_totalprice")))
-    files = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"),
-                                                        content.alias("value"))
-    return runlogs.parse_result_files(files).select(F.col("name").cast("bigint").alias("o_orderkey"), "time")
+    largest = views.table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.max("o_totalprice").alias("most"))
+    content = F.when(F.col("o_orderstatus") == "P", "killed").otherwise(F.concat(F.lit(" "), F.col("most"), F.lit(" ")))
+    path = scratch_path(spark, "results")
+    sinks.write_run_texts(largest.select(F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("run"),
+                                         content.alias("value")), path)
+    return runlogs.read_result_files(spark, path)
 
 
 _NAMES = """SELECT s_suppkey, 2 + s_suppkey % 3 * 2 AS per, 2 + s_suppkey % 7 AS num,
   'type' || CAST(s_nationkey AS VARCHAR) AS instance_type,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'Means' ELSE 'Bayes' END AS algorithm,
+  s_name AS algorithm,
   CASE WHEN s_suppkey % 5 = 0 THEN '1' ELSE '0.0' || CAST(11 + s_suppkey % 80 AS VARCHAR) END AS part,
   'set-' || CAST(s_nationkey AS VARCHAR) || '.binary' AS dataset FROM supplier"""
 
@@ -84,7 +93,7 @@ def run_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     per, number = 2 + key % 3 * 2, 2 + key % 7
     name = F.concat_ws(
         "-", F.concat(F.lit("type"), F.col("s_nationkey")), (per * number).cast("double").cast("string"),
-        number.cast("double").cast("string"), F.when(key % 2 == 0, "Means").otherwise("Bayes"),
+        number.cast("double").cast("string"), F.col("s_name"),
         F.when(key % 5 == 0, "1").otherwise(F.concat(F.lit("0.0"), (11 + key % 80).cast("string"))),
         F.concat(F.lit("set-"), F.col("s_nationkey"), F.lit(".binary")))
     named = views.table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("name"))
@@ -97,34 +106,45 @@ def cluster_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists with uneven white space; a line without an id gives no row."""
     ident = F.when(F.col("c_custkey") % 10 != 0, F.concat(F.lit("j-"), F.col("c_custkey"))).otherwise(F.lit(""))
     lines = views.table(spark, sf_dir, "customer").select(F.concat(F.col("c_name"), F.lit(" \t "), ident).alias("value"))
-    return runlogs.parse_cluster_list(lines)
+    path = scratch_path(spark, "cluster-list")
+    lines.write.text(path)
+    return runlogs.read_cluster_list(spark, path)
 
 
-_CAMPAIGNS = """campaigns AS (SELECT c_custkey, 2 + c_custkey % 3 * 2 AS per, 8 + c_custkey % 5 * 4 AS cores,
-  (1 + c_custkey % 9) / CAST(10 AS DOUBLE) AS share FROM customer),
+_CAMPAIGNS = """campaigns AS (SELECT c_custkey, c_mktsegment, c_nationkey, 2 + c_custkey % 3 * 2 AS per,
+  8 + c_custkey % 5 * 4 AS cores, (1 + c_custkey % 9) / CAST(10 AS DOUBLE) AS share FROM customer),
 plans AS (
-  SELECT c_custkey, i.instance_type, CAST(per * i.factor AS INTEGER) AS cores_per_instance, a.algorithm,
-         a.algorithm || '.py' AS program, 'data/' || a.algorithm || '.binary' AS dataset,
+  SELECT c_custkey, i.instance_type, CAST(per * i.factor AS INTEGER) AS cores_per_instance, algorithm,
+         lower(algorithm) || '.py' AS program, 'data/' || c_mktsegment || '.parquet' AS dataset,
          CAST(c.cores * d.factor AS INTEGER) AS cores, CASE WHEN d.factor = 1 THEN share ELSE CAST(1 AS DOUBLE) END AS fraction
-  FROM campaigns c CROSS JOIN (VALUES ('small', 1), ('large', 2)) i(instance_type, factor)
-  CROSS JOIN (VALUES ('Means'), ('Bayes')) a(algorithm) CROSS JOIN (VALUES (1), (2), (4)) d(factor))"""
+  FROM (SELECT *, unnest([c_mktsegment, 'NATION_' || CAST(c_nationkey AS VARCHAR)]) AS algorithm FROM campaigns) c
+  CROSS JOIN (VALUES ('narrow', 1), ('wide', 2)) i(instance_type, factor)
+  CROSS JOIN (VALUES (1), (2), (4)) d(factor))"""
 
 
-def _campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One campaign JSON text per customer."""
-    key = F.col("c_custkey")
-    text = F.format_string(
-        '{"instance_type": [{"name": "small", "cores": %d}, {"name": "large", "cores": %d}],'
-        ' "algorithm": [{"name": "Means", "program": "Means.py", "dataset": "data/Means.binary"},'
-        ' {"name": "Bayes", "program": "Bayes.py", "dataset": "data/Bayes.binary"}],'
-        ' "design": [{"cores": %d, "partition": %s}, {"cores": %d, "partition": 1}, {"cores": %d, "partition": 1}]}',
-        2 + key % 3 * 2, 4 + key % 3 * 4, 8 + key % 5 * 4, ((1 + key % 9) / F.lit(10.0)).cast("string"),
-        16 + key % 5 * 8, 32 + key % 5 * 16)
-    return views.table(spark, sf_dir, "customer").select("c_custkey", text.alias("value"))
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan rows of one campaign per customer, read from JSON lines."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    nation = F.concat(F.lit("NATION_"), F.col("c_nationkey"))
 
+    def algorithm(name: Column) -> Column:
+        return F.struct(name.alias("name"), F.concat(F.lower(name), F.lit(".py")).alias("program"),
+                        F.concat(F.lit("data/"), segment, F.lit(".parquet")).alias("dataset"))
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.plan_rows(runlogs.parse_campaigns(_campaigns(spark, sf_dir)), ["c_custkey"])
+    def instance(name: str, factor: int) -> Column:
+        return F.struct(F.lit(name).alias("name"), (factor * (2 + key % 3 * 2)).alias("cores"))
+
+    def design(factor: int, share: Column) -> Column:
+        return F.struct((factor * (8 + key % 5 * 4)).alias("cores"), share.alias("partition"))
+
+    text = F.to_json(F.struct(
+        key, F.array(instance("narrow", 1), instance("wide", 2)).alias("instance_type"),
+        F.array(algorithm(segment), algorithm(nation)).alias("algorithm"),
+        F.array(design(1, (1 + key % 9) / F.lit(10.0)), design(2, F.lit(1.0)), design(4, F.lit(1.0))).alias("design")))
+    path = scratch_path(spark, "campaigns")
+    views.table(spark, sf_dir, "customer").select(text.alias("value")).write.text(path)
+    campaigns = runlogs.read_campaigns(spark, path, keys="c_custkey bigint", by_line=True)
+    return campaign.plan_rows(campaigns, ["c_custkey"])
 
 
 _PLAN_COLUMNS = "c_custkey, instance_type, cores_per_instance, algorithm, program, dataset, cores, fraction"
@@ -140,20 +160,25 @@ SELECT c_custkey, instance_type, algorithm, cores, fraction,
        CAST(trunc(cores / CAST(cores_per_instance AS DOUBLE)) AS INTEGER) + 1 AS instances,
        instance_type || '-' || CAST(cores_per_instance * (cores / CAST(cores_per_instance AS DOUBLE) + 1) AS VARCHAR) || '-'
          || CAST(cores / CAST(cores_per_instance AS DOUBLE) + 1 AS VARCHAR) || '-' || algorithm || '-'
-         || CASE WHEN fraction = 1 THEN '1' ELSE CAST(fraction AS VARCHAR) END || '-' || algorithm || '.binary' AS name
+         || CASE WHEN fraction = 1 THEN '1' ELSE CAST(fraction AS VARCHAR) END || '-' || substr(dataset, 6) AS name
 FROM plans""")
 def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = campaign.sized_plan(_plan(spark, sf_dir))
     return sized.select("c_custkey", "instance_type", "algorithm", "cores", "fraction", "instances", "name")
 
 
-@query("companion_runs", f"""WITH {_CAMPAIGNS}
-SELECT {_PLAN_COLUMNS} FROM plans
+_GAPPED = "SELECT * REPLACE (nullif(dataset, 'data/BUILDING.parquet') AS dataset) FROM plans"
+
+
+@query("companion_runs", f"""WITH {_CAMPAIGNS}, gapped AS ({_GAPPED})
+SELECT {_PLAN_COLUMNS} FROM gapped
 UNION ALL SELECT * FROM (
-  SELECT {_PLAN_COLUMNS.replace('fraction', 'CAST(1 AS DOUBLE) AS fraction')} FROM plans WHERE fraction <> 1
-  EXCEPT SELECT {_PLAN_COLUMNS} FROM plans) t""")
+  SELECT {_PLAN_COLUMNS.replace('fraction', 'CAST(1 AS DOUBLE) AS fraction')} FROM gapped WHERE fraction <> 1
+  EXCEPT SELECT {_PLAN_COLUMNS} FROM gapped) t""")
 def companion_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaign.with_full_runs(_plan(spark, sf_dir))
+    """Companions of a plan in which some rows have no dataset."""
+    plan = _plan(spark, sf_dir)
+    return campaign.with_full_runs(plan.withColumn("dataset", F.nullif("dataset", F.lit("data/BUILDING.parquet"))))
 
 
 @query("repeated_plan", f"""WITH {_CAMPAIGNS}

@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runcast.operators import choice, timemodel
+from runcast.operators.keyed import attach
 from runcast.plans import model_queries, sqltext, views
 from runcast.plans.model_queries import KEYS, PREDICTIONS, predictions
 from runcast.plans.registry import query
+from runcast.session import materialize
 
 _DEADLINE = 20.0
 _SPENDING = 0.02
 
-# hourly price per instance type: mean supplier balance of three classes, in cents
+# hourly price per instance type: mean supplier balance of three classes, in cents; type 2 has no price
 _PRICES = """prices AS (
   SELECT CAST(s_suppkey % 3 AS INTEGER) AS instance_type, avg(abs(s_acctbal)) / 100000 AS hourly_price
-  FROM supplier GROUP BY ALL)"""
+  FROM supplier WHERE s_suppkey % 3 <> 2 GROUP BY ALL)"""
 _OPTIONS = f"""{PREDICTIONS}, {_PRICES}, options AS (
   SELECT workload, instance_type, machine, time, time / 3600 * machine * hourly_price AS cost
-  FROM predictions JOIN prices USING (instance_type))"""
+  FROM predictions LEFT JOIN prices USING (instance_type))"""
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "supplier").groupBy(
+    return views.table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 2").groupBy(
         (F.col("s_suppkey") % 3).cast("int").alias("instance_type")).agg(
         (F.avg(F.abs("s_acctbal")) / 100000).alias("hourly_price"))
 
@@ -51,7 +53,7 @@ def _picked(found: DataFrame) -> DataFrame:
                         F.round("cost", 7).alias("cost"))
 
 
-@query("cheapest_config", _pick_sql(f"time <= {_DEADLINE}", "cost, time, machine"))
+@query("cheapest_config", _pick_sql(f"time <= {_DEADLINE} AND cost IS NOT NULL", "cost, time, machine"))
 def cheapest_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _picked(choice.cheapest_within_deadline(_options(spark, sf_dir), ["workload"], _DEADLINE))
 
@@ -74,11 +76,13 @@ factors AS (
 
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Base models and all runs with the base prediction."""
+    """Base models, fitted once and written, and all runs with the base prediction."""
     runs = views.runs(spark, sf_dir)
-    models = timemodel.fit_time_models(runs.where("instance_type = 0"), ["workload"], select_features=False)
-    features = timemodel.model_features(runs, KEYS)
-    return models, timemodel.score_runs(features, models, ["workload"]).withColumnRenamed("predicted", "base")
+    models = materialize(timemodel.fit_time_models(runs.where("instance_type = 0"), ["workload"], select_features=False),
+                         "base-models")
+    features = timemodel.model_features(runs, [*KEYS, "fraction"])
+    scored = timemodel.score_runs(features, models, ["workload"], stored=True)
+    return models, scored.withColumnRenamed("predicted", "base")
 
 
 @query("transfer_factor", f"{_SCORED} SELECT workload, instance_type, round(factor, 7) AS factor FROM factors")
@@ -103,11 +107,9 @@ def transferred_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT workload, instance_type, count(*) AS n, round(avg(abs(factor * base - time) / time), 8) AS relative_error
 FROM based JOIN factors USING (workload, instance_type) WHERE fraction = 1 GROUP BY workload, instance_type""")
 def prediction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transferred predictions against the runs on the whole input."""
-    runs = views.runs(spark, sf_dir)
-    models, based = _base(spark, sf_dir)
-    factors = choice.transfer_factors(based, "base", KEYS)
-    full = timemodel.model_features(runs.where("fraction = 1"), KEYS)
-    scored = timemodel.score_runs(full, models, ["workload"]).join(factors, KEYS)
-    scored = scored.withColumn("predicted", F.col("predicted") * F.col("factor"))
+    """Transferred predictions against the runs on the whole input: one scan for the factors, one for the errors."""
+    based = _base(spark, sf_dir)[1]
+    factors = materialize(choice.transfer_factors(based, "base", KEYS), "factors")
+    scored = attach(based.where("fraction = 1"), factors, KEYS, stored=True)
+    scored = scored.withColumn("predicted", F.col("base") * F.col("factor"))
     return choice.prediction_accuracy(scored, KEYS).withColumn("relative_error", F.round("relative_error", 8))

@@ -35,8 +35,17 @@ def read_run_samples(spark: SparkSession, path: str) -> DataFrame:
     return parse_run_samples(spark.read.text(path))
 
 
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """The last part of a path; a file in a folder ``run=<name>`` is named by that folder.
+
+    Paths come encoded, and names of folders were encoded once more when they were written.
+    """
+    folder = F.regexp_extract(path, r"/run=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", _decoded(_decoded(folder))).otherwise(_decoded(F.element_at(F.split(path, "/"), -1)))
 
 
 def log_key(name: Column) -> list[Column]:
@@ -62,17 +71,29 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_run_logs(lines)
 
 
-def parse_container_logs(files: DataFrame) -> DataFrame:
-    """First line of each whole log ``(name, value)`` to ``(name, time)``."""
-    first = F.split("value", "\n")[0]
-    return files.select("name", _second_field(first).alias("time")).dropna()
+def parse_container_logs(first_lines: DataFrame) -> DataFrame:
+    """First line of each log ``(name, value)`` to ``(name, time)``."""
+    return first_lines.select("name", _second_field(F.col("value")).alias("time")).dropna()
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first line of each file: ``(name, value)`` of ``(name, path, block, value)`` rows in reading order.
+
+    A task keeps one line per file, so a log of any length costs no memory.
+    """
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    firsts = placed.groupBy("path").agg(F.min_by("value", F.struct("block", "at")).alias("value"),
+                                        F.first("name").alias("name"))
+    return firsts.select("name", "value")
 
 
 def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     """Gzip container logs ``<run name>-stdout.gz``; the time is in the first line."""
-    files = spark.read.text(path, wholetext=True)
-    name = F.regexp_replace(file_name(F.col("_metadata.file_path")), r"-stdout\.gz$", "")
-    return parse_container_logs(files.select(name.alias("name"), "value"))
+    path_column = F.col("_metadata.file_path")
+    lines = spark.read.text(path).select(
+        F.regexp_replace(file_name(path_column), r"-stdout(\.gz)?$", "").alias("name"), path_column.alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), "value")
+    return parse_container_logs(first_lines(lines))
 
 
 def parse_result_files(lines: DataFrame) -> DataFrame:
@@ -118,6 +139,7 @@ def parse_campaigns(lines: DataFrame) -> DataFrame:
     return lines.select(*others, F.from_json("value", CAMPAIGN_SCHEMA).alias("c")).select(*others, "c.*")
 
 
-def read_campaigns(spark: SparkSession, path: str) -> DataFrame:
-    """One campaign per JSON file."""
-    return spark.read.schema(CAMPAIGN_SCHEMA).option("multiLine", True).json(path)
+def read_campaigns(spark: SparkSession, path: str, *, keys: str = "", by_line: bool = False) -> DataFrame:
+    """One campaign per JSON file, or per line; ``keys`` are further fields, as ``name type, ..``."""
+    schema = f"{keys}, {CAMPAIGN_SCHEMA}" if keys else CAMPAIGN_SCHEMA
+    return spark.read.schema(schema).option("multiLine", not by_line).json(path)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runcast.functions.features import MODEL_TERMS
 
 
-def write_features(selected: DataFrame, path: str) -> None:
-    """``time, 1.0, kept terms`` as CSV without header, quoted with ``|``.
+def write_features(selected: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """``keys, time, 1.0, kept terms`` as CSV without header, quoted with ``|``.
 
     Files have one width: a term dropped for a group is 0 there.
     """
     columns = ["time", *MODEL_TERMS]
-    selected.select(*[F.col(c).cast("double") for c in columns]).write.option("quote", "|").csv(path)
+    selected.select(*keys, *[F.col(c).cast("double") for c in columns]).write.option("quote", "|").csv(path)
+
+
+def write_run_texts(lines: DataFrame, path: str, order: Sequence[str] = (), compression: str = "none") -> None:
+    """``(run, value)`` rows as one text file per run, in folders ``run=<name>``, lines in the given order."""
+    columns = ["run", *order]
+    placed = lines.repartition("run").sortWithinPartitions(*columns).select("run", "value")
+    placed.write.partitionBy("run").option("compression", compression).text(path)
 
 
 def append_results(means: DataFrame, path: str) -> None:

@@ -8,75 +8,111 @@ from runcast.operators import campaign, stats
 from runcast.sources import mldata, runlogs, sinks
 
 
+# three instance types of different widths, three algorithms and four sizes; everything below is computed from these
+TYPES = {"lean": 3, "broad": 12, "huge": 48}
+ALGORITHMS = {"Sort": "tera", "Rank": "links", "Join": "sales"}
+DESIGNS = [(24, 0.35), (48, 1), (96, 0.5), (144, 1)]
+SECONDS = {"Sort": 71.5, "Rank": 203.25, "Join": 9.125}
+
+
+def run_name(instance, algorithm, cores, fraction):
+    """CORES and NUM count one more instance than the workers: the master."""
+    number = cores / TYPES[instance] + 1
+    return f"{instance}-{TYPES[instance] * number}-{number}-{algorithm}-{fraction:g}-{ALGORITHMS[algorithm]}.parquet"
+
+
 def test_run_samples(spark, tmp_path):
-    path = tmp_path / "samples.csv"
-    path.write_text("&cores,machine,fraction,time\n16,8,0.5,12.5 measured twice\n\n2,1,0.25,40\nbroken,1,2\n")
-    rows = runlogs.read_run_samples(spark, str(path)).orderBy("cores").collect()
-    assert [tuple(r) for r in rows] == [(2, 1, 0.25, 40.0), (16, 8, 0.5, 12.5)]
+    rows = [(3 * n, n, n / 7, 100.0 / n) for n in range(1, 6)]
+    lines = [f"{cores},{machine},{fraction!r},{time!r}{' by hand' * (machine % 2)}" for cores, machine, fraction, time in rows]
+    path = tmp_path / "measured"
+    path.write_text("\n".join(["& not a sample", *lines, "", "7,8", "a,b,c,d"]) + "\n")
+    read = runlogs.read_run_samples(spark, str(path)).orderBy("cores").collect()
+    assert [tuple(r) for r in read] == rows
 
 
 def test_run_logs_and_their_means(spark, tmp_path):
-    (tmp_path / "16-0.069271-linear.py").write_text("time: 10.5\ntime: 11.5\nlost executor 3\ntime: n/a\n")
-    (tmp_path / "8-1-linear.py").write_text("time: 30.0\n")
-    (tmp_path / "notes.txt").write_text("time: 99\n")
+    times = {(cores, fraction): [cores + k * fraction for k in range(3)] for cores, fraction in DESIGNS}
+    for (cores, fraction), seconds in times.items():
+        (tmp_path / f"{cores}-{fraction:g}-rank.py").write_text(
+            "\n".join([f"time: {s}" for s in seconds] + ["time: soon", "task failed"]))
+    (tmp_path / "readme").write_text("time: 1")
     samples = runlogs.read_run_logs(spark, str(tmp_path))
     means = stats.mean_times(samples, ["cores", "fraction", "script"]).orderBy("cores").collect()
-    assert [tuple(r) for r in means] == [(8, 1.0, "linear.py", 30.0, 1), (16, 0.069271, "linear.py", 11.0, 2)]
+    assert [tuple(r) for r in means] == [
+        (cores, fraction, "rank.py", sum(s) / 3, 3) for (cores, fraction), s in sorted(times.items())]
     out = str(tmp_path / "results")
-    frame = stats.mean_times(samples, ["cores", "fraction"])
-    sinks.append_results(frame, out)
-    sinks.append_results(frame, out)
-    assert spark.read.csv(out).count() == 4
+    for _ in range(2):
+        sinks.append_results(stats.mean_times(samples, ["cores", "fraction"]), out)
+    assert spark.read.csv(out).count() == 2 * len(DESIGNS)
+
+
+def test_logs_in_run_folders(spark, tmp_path):
+    lines = spark.createDataFrame([("a b/c", 2, "time: 4"), ("a b/c", 1, "time: 3"), ("other", 1, "no")],
+                                  "run string, at int, value string")
+    for kind in ("none", "gzip"):
+        path = str(tmp_path / kind)
+        sinks.write_run_texts(lines, path, ["at"], compression=kind)
+        assert [tuple(r) for r in runlogs.read_container_logs(spark, path).collect()] == [("a b/c", 3.0)]
 
 
 def test_container_logs(spark, tmp_path):
-    with gzip.open(tmp_path / "c5.big-6.0-3.0-Means-0.02-a.binary-stdout.gz", "wt") as log:
-        log.write("time: 10.25 \ntime: 99\n====\n")
-    with gzip.open(tmp_path / "c5.big-6.0-3.0-Bayes-1-a.binary-stdout.gz", "wt") as log:
-        log.write("Traceback\ntime: 5\n")
+    logs = {run_name("broad", "Sort", 96, 0.5): ("time: 71.5 ", 71.5), run_name("huge", "Join", 144, 1): ("killed", None),
+            run_name("lean", "Rank", 24, 0.35): ("time: 203.25", 203.25)}
+    for name, (first, _) in logs.items():
+        with gzip.open(tmp_path / f"{name}-stdout.gz", "wt") as log:
+            log.write("\n".join([first, *[f"time: {n}" for n in range(5_000)]]))
     rows = runlogs.read_container_logs(spark, str(tmp_path / "*.gz")).collect()
-    assert [tuple(r) for r in rows] == [("c5.big-6.0-3.0-Means-0.02-a.binary", 10.25)]
+    assert {r["name"]: r["time"] for r in rows} == {name: time for name, (_, time) in logs.items() if time}
 
 
 def test_result_files_and_run_names(spark, tmp_path):
-    (tmp_path / "c5.big-6.0-3.0-Means-0.022-train_a.binary").write_text("10.25")
-    (tmp_path / "c5.big-6.0-3.0-Bayes-1-train_a.binary").write_text("15.75\n")
-    (tmp_path / "other").write_text("3")
-    rows = runlogs.parse_run_names(runlogs.read_result_files(spark, str(tmp_path))).orderBy("time").collect()
-    assert [(r["algorithm"], r["fraction"], r["cores"], r["worker_cores"], r["dataset"]) for r in rows] == [
-        ("Means", 0.022, 6.0, 4.0, "train_a.binary"), ("Bayes", 1.0, 6.0, 4.0, "train_a.binary")]
+    for algorithm, seconds in SECONDS.items():
+        (tmp_path / run_name("broad", algorithm, 48, 1)).write_text(f"  {seconds}\n")
+    (tmp_path / "notes").write_text("12")
+    (tmp_path / run_name("lean", "Sort", 24, 0.35)).write_text("out of memory")
+    rows = runlogs.parse_run_names(runlogs.read_result_files(spark, str(tmp_path))).collect()
+    assert {(r["instance_type"], r["algorithm"], r["fraction"], r["cores"], r["instances"], r["worker_cores"], r["dataset"],
+             r["time"]) for r in rows} == {("broad", name, 1.0, 60.0, 5.0, 48.0, f"{ALGORITHMS[name]}.parquet", seconds)
+                                           for name, seconds in SECONDS.items()}
 
 
 def test_cluster_list(spark, tmp_path):
-    path = tmp_path / "list.txt"
-    path.write_text("c5.big-18.0-9.0-Means-1-a.binary j-1\nsecond \t j-2\n\nthird\n")
-    rows = runlogs.read_cluster_list(spark, str(path)).collect()
-    assert [tuple(r) for r in rows] == [("c5.big-18.0-9.0-Means-1-a.binary", "j-1"), ("second", "j-2")]
+    wanted = {run_name(instance, "Join", 96, 0.5): f"id{n}" for n, instance in enumerate(TYPES)}
+    path = tmp_path / "clusters"
+    path.write_text("\n".join([f" {name}\t  {ident}" for name, ident in wanted.items()] + ["", "alone"]))
+    assert {r["name"]: r["cluster_id"] for r in runlogs.read_cluster_list(spark, str(path)).collect()} == wanted
 
 
 CAMPAIGN = {
-    "instance_type": [{"name": "c5.big", "cores": 2}],
-    "algorithm": [{"name": "Means", "program": "kmeans.py", "dataset": "data/a.binary"},
-                  {"name": "Bayes", "program": "bayes.py", "dataset": "data/a.binary"}],
-    "design": [{"cores": 10, "partition": 1}] * 2 + [{"cores": 10, "partition": 0.022}],
+    "instance_type": [{"name": name, "cores": cores} for name, cores in TYPES.items()],
+    "algorithm": [{"name": name, "program": f"{name.lower()}.jar", "dataset": f"lake/{data}.parquet"}
+                  for name, data in ALGORITHMS.items()],
+    "design": [{"cores": cores, "partition": fraction} for cores, fraction in DESIGNS],
 }
 
 
 def test_campaign(spark, tmp_path):
     path = tmp_path / "campaign.json"
-    path.write_text(json.dumps(CAMPAIGN, indent=2))
+    path.write_text(json.dumps(CAMPAIGN, indent=1))
     plan = campaign.plan_rows(runlogs.read_campaigns(spark, str(path)))
-    assert plan.count() == 6
-    sized = campaign.sized_plan(plan)
-    names = {r["name"] for r in sized.collect()}
-    assert names == {"c5.big-12.0-6.0-Means-1-a.binary", "c5.big-12.0-6.0-Means-0.022-a.binary",
-                     "c5.big-12.0-6.0-Bayes-1-a.binary", "c5.big-12.0-6.0-Bayes-0.022-a.binary"}
-    assert {r["instances"] for r in sized.collect()} == {6}
-    # each sampled row has its full run already
-    assert campaign.with_full_runs(plan).count() == 6
-    sampled = plan.where("fraction < 1")
-    assert campaign.with_full_runs(sampled).where("fraction = 1").count() == 2
-    assert campaign.repeated(plan).count() == 18
+    every = [(i, a, c, f) for i in TYPES for a in ALGORITHMS for c, f in DESIGNS]
+    assert plan.count() == len(every)
+    sized = campaign.sized_plan(plan).collect()
+    assert {r["name"] for r in sized} == {run_name(*row) for row in every}
+    assert {(r["instance_type"], r["cores"], r["instances"]) for r in sized} == {
+        (i, c, c // TYPES[i] + 1) for i, _, c, _ in every}
+    sampled = [row for row in every if row[3] < 1]
+    full = campaign.with_full_runs(plan)
+    assert full.count() == len(every) + len(sampled) and full.distinct().count() == full.count()
+    assert campaign.with_full_runs(full).count() == full.count()
+    assert campaign.repeated(plan).count() == 3 * len(every)
+
+
+def test_companions_of_rows_with_nulls_and_repeats(spark):
+    rows = [("a", None, 0.5), ("a", None, 0.5), ("a", None, 1.0), ("b", 1, None), (None, 2, 0.1)]
+    plan = spark.createDataFrame(rows, "name string, cores int, fraction double")
+    got = sorted(map(str, (tuple(r) for r in campaign.with_full_runs(plan).collect())))
+    assert got == sorted(map(str, [*rows, (None, 2, 1.0)]))
 
 
 def test_published_plan_repeats(spark):
