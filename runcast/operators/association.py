@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.operators.keyed import attach
-from runcast.session import materialize
+from runcast.session import materialize, spread
 
-LEVELS = 4
+BINS = 64  # finest bins of either axis
 GRID_POWER = 0.6
 
 
@@ -45,63 +47,87 @@ def ranked_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pi
     return found.groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("edges"))
 
 
-def bin_edges(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, levels: int = LEVELS) -> DataFrame:
-    """The edges of ``2 ** levels`` bins per group in one row, as arrays ``edges_<column>``."""
-    long = ranked_values(df, keys, columns, 2 ** levels)
+def bin_edges(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, bins: int = BINS) -> DataFrame:
+    """The edges of ``bins`` equally filled bins per group in one row, as arrays ``edges_<column>``."""
+    long = ranked_values(df, keys, columns, bins)
     return long.groupBy(*keys).agg(*[
         F.first(F.when(F.col("feature") == c, F.col("edges")), ignorenulls=True).alias(f"edges_{c}") for c in columns])
 
 
-def _bin(column: str) -> Column:
-    return F.size(F.filter(f"edges_{column}", lambda edge: edge < F.col(column)))
+def _bin(column: str, bins: int) -> Column:
+    """How many edges lie below the value, by halving steps; null for a null value."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(bins - 1, 1).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get(f"edges_{column}", at + step - 1) < F.col(column), F.lit(False)), at + step).otherwise(at))
+    return F.when(F.col(column).isNotNull(), below)
 
 
 def joint_histograms(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, *,
-                     levels: int = LEVELS) -> DataFrame:
-    """Counts per group, column and pair of finest bins ``(feature, bin_x, bin_y, n)``; every row counts.
+                     bins: int = BINS) -> DataFrame:
+    """Counts per group, column and pair of finest bins ``(feature, bin_x, bin_y, n)``.
 
-    Rows are first counted per combination of all bins on their own partition,
-    so that one row becomes several only after that.
+    A row counts for a column if both the column and the target have a value. Rows are first counted per
+    combination of all bins on their own partition, so that one row becomes several only after that.
     """
-    edges = bin_edges(df, keys, [*columns, target], levels=levels)
+    edges = bin_edges(df, keys, [*columns, target], bins=bins)
     binned = attach(df.select(*keys, *columns, target), edges, keys)
-    bins = [_bin(c).alias(f"bin_{c}") for c in [*columns, target]]
-    cells = binned.select(*keys, *bins).groupBy(*keys, *[f"bin_{c}" for c in [*columns, target]]).agg(
+    placed = [_bin(c, bins).alias(f"bin_{c}") for c in [*columns, target]]
+    cells = binned.select(*keys, *placed).groupBy(*keys, *[f"bin_{c}" for c in [*columns, target]]).agg(
         F.count(F.lit(1)).alias("n"))
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"bin_{c}").alias("bin_x")) for c in columns])
     long = cells.select(*keys, F.inline(pairs), F.col(f"bin_{target}").alias("bin_y"), "n")
-    return long.groupBy(*keys, "feature", "bin_x", "bin_y").agg(F.sum("n").alias("n"))
+    return long.where("bin_x is not null and bin_y is not null").groupBy(*keys, "feature", "bin_x", "bin_y").agg(
+        F.sum("n").alias("n"))
 
 
-def information_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, *,
-                       levels: int = LEVELS) -> DataFrame:
-    """Best normalised mutual information over grids ``(feature, score)`` per group.
+def best_grid_score(histogram: np.ndarray, power: float = GRID_POWER) -> float:
+    """Largest normalised mutual information over all grids of at most ``n ** power`` cells (four at least).
 
-    Grids have 2, 4, .. ``2 ** levels`` equally filled bins on either axis and at
-    most ``n ** 0.6`` cells. Coarse bins are unions of fine ones, so all grids
-    come from one histogram. An estimate from below: grid lines are not moved.
+    Coarse bin of a fine one: ``fine * bins // finest``. Cells of any grid are differences of one table of
+    running sums.
     """
-    cells = materialize(joint_histograms(df, keys, columns, target, levels=levels), "histogram")
-    group = [*keys, "feature"]
-    span = F.sequence(F.lit(1), F.lit(levels))
-    grids = cells.withColumn("jx", F.explode(span)).withColumn("jy", F.explode(span))
+    finest, total = len(histogram), histogram.sum()
+    sums = np.zeros((finest + 1, finest + 1))
+    sums[1:, 1:] = histogram.cumsum(0).cumsum(1)
+    cuts = {b: -(-np.arange(b + 1) * finest // b) for b in range(2, finest + 1)}
+    entropy = lambda counts: -np.sum(counts * np.log(np.where(counts > 0, counts, 1.0) / total)) / total
+    of_x = {b: entropy(np.diff(sums[cut, -1])) for b, cut in cuts.items()}
+    of_y = {b: entropy(np.diff(sums[-1, cut])) for b, cut in cuts.items()}
+    allowed, best = max(float(total) ** power, 4.0), 0.0
+    for bx, cut in cuts.items():
+        rows = np.diff(sums[cut], axis=0)
+        for by in range(2, min(finest, int(allowed / bx)) + 1):
+            both = entropy(np.diff(rows[:, cuts[by]], axis=1))
+            best = max(best, (of_x[bx] + of_y[by] - both) / np.log(min(bx, by)))
+    return best
 
-    def coarse(column: str, level: str) -> Column:
-        return F.floor(F.col(column) / F.pow(F.lit(2.0), F.lit(levels) - F.col(level))).cast("int")
 
-    grid = [*group, "jx", "jy"]
-    joint = grids.groupBy(*grid, coarse("bin_x", "jx").alias("cx"), coarse("bin_y", "jy").alias("cy")).agg(
-        F.sum("n").alias("n"))
-    n_log_n = F.sum(F.col("n") * F.ln("n"))
-    parts = [joint.groupBy(*grid).agg(n_log_n.alias("both"), F.sum("n").alias("total"))]
-    for side, name in (("cx", "of_x"), ("cy", "of_y")):
-        margin = joint.groupBy(*grid, side).agg(F.sum("n").alias("n"))
-        parts.append(margin.groupBy(*grid).agg(n_log_n.alias(name)))
-    summed = parts[0].join(parts[1], grid).join(parts[2], grid)
-    information = (F.col("both") - F.col("of_x") - F.col("of_y")) / F.col("total") + F.ln("total")
-    score = information / (F.least("jx", "jy") * F.ln(F.lit(2.0)))
-    allowed = F.pow(F.lit(2.0), F.col("jx") + F.col("jy")) <= F.greatest(F.pow("total", F.lit(GRID_POWER)), F.lit(4.0))
-    return summed.where(allowed).groupBy(*group).agg(F.max(score).alias("score"))
+def information_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, *,
+                       bins: int = BINS) -> DataFrame:
+    """Best normalised mutual information over grids ``(feature, score)`` per group.
+
+    All grids of 2 to ``bins`` near equally filled bins on either axis with at most ``n ** 0.6`` cells are
+    tried. Coarse bins are unions of fine ones, so all grids come from one histogram, which is a bounded
+    row per group and feature (``bins`` squared at most) and is scored where it lies. An estimate from
+    below: grid lines are not moved.
+    """
+    cells = joint_histograms(df, keys, columns, target, bins=bins)
+    packed = spread(cells.groupBy(*keys, "feature").agg(
+        F.collect_list(F.col("bin_x") * bins + F.col("bin_y")).alias("at"), F.collect_list("n").alias("counts")),
+        *keys, "feature")
+    kept = [*keys, "feature"]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            scores = []
+            for at, counts in zip(batch["at"], batch["counts"], strict=True):
+                flat = np.zeros(bins * bins)
+                flat[np.asarray(at, dtype=np.int64)] = counts
+                scores.append(best_grid_score(flat.reshape(bins, bins)))
+            yield batch[kept].assign(score=scores)
+
+    types = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in kept)
+    return packed.mapInPandas(score, f"{types}, score double")
 
 
 def informative_features(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

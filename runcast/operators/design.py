@@ -10,14 +10,15 @@ rounds of grouped sums over packed blocks of candidates.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations_with_replacement
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.functions import optimum, solvers
@@ -41,7 +42,6 @@ BLOCK_SIDE = 64
 TRIALS = 4
 WARM_CANDIDATES = 2_000
 WARM_MU = 1e-4
-ROUNDS_MU = 1e-6
 
 
 def with_defaults(problems: DataFrame) -> DataFrame:
@@ -271,8 +271,7 @@ def _advance_batches(batches: Iterator[pd.DataFrame], criterion: str) -> Iterato
         states = []
         for row in batch.itertuples(index=False):
             sums = np.asarray(row.sums, dtype=float).reshape(-1, optimum.SUMS)
-            states.append(optimum.advance(_state_of(row), sums, last_mu=ROUNDS_MU, trials=TRIALS,
-                                          criterion=criterion))
+            states.append(optimum.advance(_state_of(row), sums, trials=TRIALS, criterion=criterion))
         yield _with_states(batch, states, [*PROBLEM, "n"])
 
 
@@ -312,8 +311,10 @@ def _weights_in_rounds(problems: DataFrame, criterion: str) -> DataFrame:
 
     place = F.pmod(F.xxhash64("step", "machine"), F.ceil(F.col("n") / WARM_CANDIDATES))
     thinned = attach(features, states.where("status = 'running'"), PROBLEM, stored=True, how="inner").where(place == 0)
-    states = materialize(thinned.groupBy(*PROBLEM).applyInPandas(
+    warm = materialize(thinned.groupBy(*PROBLEM).applyInPandas(
         lambda group: _warm_design(group, criterion), state_schema), "design-states")
+    # a design whose thinned set is empty starts from its full sums instead
+    states = warm.unionByName(states.where("status = 'running'").join(warm.select(*PROBLEM), PROBLEM, "left_anti"))
 
     while True:
         running = states.where("status = 'running'")
@@ -366,20 +367,38 @@ def parts_of(fraction: Column, total_parts: Column) -> Column:
 
 
 def chosen_runs(weighted: DataFrame, keys: Sequence[str], min_weight: float = MIN_WEIGHT) -> DataFrame:
-    """The design proper: candidates above ``min_weight``, heaviest first within each group."""
+    """The design proper: candidates above ``min_weight`` with their ``position``, heaviest first within each group.
+
+    The order is within a design, so designs stay where their key puts them: no global sort.
+    """
     chosen = weighted.where(F.col("weight") > min_weight)
-    chosen = chosen.select(*keys, parts_of(F.col("fraction"), F.col("total_parts")).alias("parts"), "fraction",
-                           "machine", "weight")
-    return chosen.orderBy(*keys, F.desc("weight"), "machine", "fraction")
+    heaviest = Window.partitionBy(*keys).orderBy(F.desc("weight"), "machine", "fraction")  # a few dozen runs
+    return chosen.select(*keys, parts_of(F.col("fraction"), F.col("total_parts")).alias("parts"), "fraction",
+                         "machine", "weight", F.row_number().over(heaviest).alias("position"))
 
 
 def design_runs(problems: DataFrame, keys: Sequence[str], *, criterion: str = "D",
                 local_candidates: int = LOCAL_CANDIDATES) -> DataFrame:
-    """Design every problem; the solved shapes are joined back to the problems that share them."""
+    """Design every problem; the solved shapes are joined back to the problems that share them.
+
+    Every problem has a row at least: ``status`` tells how the solver ended, and a problem without a design
+    ("singular", "none" without candidates) has one row of null runs.
+    """
     problems = with_defaults(problems)
     found = optimal_weights(problems, criterion=criterion, local_candidates=local_candidates)
+    status = found.groupBy(*PROBLEM).agg(F.first("status").alias("status"))
     solved = found.where(F.col("weight") > MIN_WEIGHT).select(*PROBLEM, "fraction", "machine", "weight")
-    return chosen_runs(problems.select(*keys, *PROBLEM).join(solved, PROBLEM), keys)
+    told = attach(problems.select(*keys, *PROBLEM), status, PROBLEM)
+    chosen = chosen_runs(problems.select(*keys, *PROBLEM).join(solved, PROBLEM), keys)
+    return attach_runs(told.select(*keys, F.coalesce("status", F.lit("none")).alias("status")), chosen, keys)
+
+
+def attach_runs(told: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All runs of each problem beside its status; null keys match."""
+    own = {key: f"_{key}_of_run" for key in keys}
+    renamed = chosen.select(*[F.col(c).alias(own.get(c, c)) for c in chosen.columns])
+    same = reduce(and_, [told[key].eqNullSafe(renamed[own[key]]) for key in keys])
+    return told.join(renamed, same, "left").drop(*own.values())
 
 
 def design_report(chosen: DataFrame) -> DataFrame:

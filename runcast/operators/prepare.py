@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.functions.draws import digest, uniform
+from runcast.session import materialize, stored_bytes
+
+PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def sample_rows(df: DataFrame, fraction: float, seed: int = 17) -> DataFrame:
@@ -19,14 +22,19 @@ def sample_by_key(df: DataFrame, key: Column, fraction: float, seed: int = 17) -
     return df.where(uniform(digest(seed, key)) < F.lit(float(fraction)))
 
 
-def at_most_partitions(df: DataFrame, count: int) -> DataFrame:
-    """Merge to at most ``count`` partitions; never moves rows between executors to raise the number."""
-    return df.coalesce(count)
+def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
+    """How many partitions of about ``bytes_each`` the input's files make, by the sizes Spark knows; at least one."""
+    return max(1, -(-stored_bytes(df) // bytes_each))
+
+
+def at_most_partitions(df: DataFrame, count: int | None = None) -> DataFrame:
+    """Merge to at most ``count`` partitions (by size if not given); never moves rows to raise the number."""
+    return df.coalesce(partitions_for(df) if count is None else count)
 
 
-def exactly_partitions(df: DataFrame, count: int) -> DataFrame:
-    """Spread over ``count`` partitions (a shuffle)."""
-    return df.repartition(count)
+def exactly_partitions(df: DataFrame, count: int | None = None) -> DataFrame:
+    """Spread over ``count`` partitions (by size if not given; a shuffle)."""
+    return df.repartition(partitions_for(df) if count is None else count)
 
 
 def load_into_cache(df: DataFrame) -> tuple[DataFrame, int]:
@@ -35,8 +43,8 @@ def load_into_cache(df: DataFrame) -> tuple[DataFrame, int]:
     return kept, kept.count()
 
 
-def prepare(df: DataFrame, fraction: float, partitions: int, seed: int = 17) -> DataFrame:
-    """What every workload does to its input: sample, then merge partitions."""
+def prepare(df: DataFrame, fraction: float, partitions: int | None = None, seed: int = 17) -> DataFrame:
+    """What every workload does to its input: sample, then merge partitions (as many as its size asks for by default)."""
     return at_most_partitions(sample_rows(df, fraction, seed), partitions)
 
 
@@ -59,6 +67,20 @@ def positive_label(df: DataFrame, label: str = "label") -> DataFrame:
     return df.where(F.col(label) > 0)
 
 
-def sorted_ranges(df: DataFrame, partitions: int, *key: str) -> DataFrame:
-    """Total order over partitions: range partitioning, then a sort inside each."""
-    return df.repartitionByRange(partitions, *key).sortWithinPartitions(*key)
+def sorted_ranges(df: DataFrame, *key: str) -> DataFrame:
+    """Total order over partitions: range partitioning, then a sort inside each; as many ranges as shuffles have."""
+    return df.repartitionByRange(*key).sortWithinPartitions(*key)
+
+
+def with_positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a totally ordered frame from 0, as they stand: place in the partition plus what is before.
+
+    The ordered rows are written once, so both passes see the same partitions; the counts are one row per partition.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(ordered.select("*", F.spark_partition_id().alias("_part"), within.alias("_at")), "ordered")
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop(
+        "_part", "_at", "_before")

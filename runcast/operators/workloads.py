@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,15 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runcast.operators import prepare
+from runcast.sources import mldata
+
 # fixed settings of the workloads
 CLUSTERS = 4
 CLUSTER_SEED = 1
@@ -24,6 +28,7 @@ COMPONENTS = 3
 MOST_ITERATIONS = 10
 ELASTIC_MIX = 0.8
 LINEAR_PENALTY = 0.3
+CENTER_TOLERANCE = 1e-2
 
 
 def _cells(df: DataFrame, matrix: np.ndarray, names: Sequence[str]) -> DataFrame:
@@ -151,18 +156,49 @@ def timed(action: Callable[[], object]) -> tuple[object, float]:
     return result, time.perf_counter() - started
 
 
-def timed_fit(df: DataFrame, workload: str, fit: Callable[[DataFrame], object], fraction: float,
-              partitions: int, cached: bool = True, seed: int = 17) -> tuple[str, int, int, float, float]:
-    """One run sample ``(workload, cores, machine, fraction, time)``: seconds of the fit alone.
-
-    With ``cached`` the sampled input is in memory before the clock starts.
-    """
-    context = df.sparkSession.sparkContext
-    sampled = df.sample(withReplacement=False, fraction=fraction, seed=seed).coalesce(partitions)
-    if cached:
-        sampled = sampled.cache()
-        sampled.count()
-    _, seconds = timed(lambda: fit(sampled))
-    if cached:
-        sampled.unpersist()
-    return workload, context.defaultParallelism, 1, fraction, seconds
+def without_negatives(df: DataFrame) -> DataFrame:
+    """Features by their size, as counts must not be negative."""
+    return df.withColumn("features", array_to_vector(F.transform(vector_to_array("features"), F.abs)))
+
+
+@dataclass(frozen=True)
+class Timed:
+    """How a workload is timed: its action, whether its input is in memory first, and whether loading counts."""
+
+    action: Callable[[DataFrame], object]
+    cached: bool = True
+    with_load: bool = False
+
+
+# the clock limits of each workload: fits run on cached input, the two matrix workloads scan theirs while the clock
+# runs, and the summary's time includes loading
+TIMED = {
+    "kmeans": Timed(kmeans_fit), "linear": Timed(linear_fit), "logistic": Timed(logistic_fit), "bayes": Timed(bayes_fit),
+    "pca": Timed(pca_fit, cached=False), "correlation": Timed(lambda df: Correlation.corr(df, "features").first(), cached=False),
+    "summary": Timed(lambda df: df.select(Summarizer.metrics("mean", "count").summary(F.col("features"))).first(),
+                     cached=False, with_load=True),
+}
+
+
+def timed_run(load: Callable[[], DataFrame], workload: str, timed_as: Timed, fraction: float,
+              seed: int = 17) -> tuple[str, int, int, float, float]:
+    """One run sample ``(workload, cores, machine, fraction, time)`` within the workload's clock limits."""
+    loading = time.perf_counter()
+    rows = prepare.prepare(load(), fraction, seed=seed)
+    if timed_as.cached:
+        rows, _ = prepare.load_into_cache(rows)
+    started = loading if timed_as.with_load else time.perf_counter()
+    timed_as.action(rows)
+    seconds = time.perf_counter() - started
+    if timed_as.cached:
+        rows.unpersist()
+    return workload, rows.sparkSession.sparkContext.defaultParallelism, 1, fraction, seconds
+
+
+def time_workloads(spark: SparkSession, path: str, fractions: Sequence[float],
+                   workloads: Sequence[str] = tuple(TIMED)) -> DataFrame:
+    """Run samples of the workloads over fractions of a libsvm folder (labels 0 and 1, features not negative)."""
+    width = mldata.read_libsvm(spark, path).schema["features"].metadata["numFeatures"]
+    samples = [timed_run(lambda: mldata.read_libsvm(spark, path, width), name, TIMED[name], fraction)
+               for fraction in fractions for name in workloads]
+    return spark.createDataFrame(samples, "workload string, cores int, machine int, fraction double, time double")

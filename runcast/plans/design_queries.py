@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runcast.functions.features import DESIGN_TERMS
@@ -10,6 +10,7 @@ from runcast.operators import design
 from runcast.operators.keyed import attach
 from runcast.plans import sqltext, views
 from runcast.plans.registry import query
+from runcast.session import materialize
 
 KEYS = ["workload"]
 _GAP_LIMIT = 1e-3
@@ -118,11 +119,65 @@ def design_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.design_report(chosen).select("workload", "parts", "line")
 
 
-@query("design_weights")
+@query("design_weights", f"""WITH {sqltext.CANDIDATES}
+SELECT workload, CASE WHEN sum(cost) <= any_value(budget) THEN 'all' ELSE 'done' END AS status, TRUE AS from_candidates,
+       TRUE AS within_budget, TRUE AS in_order, CASE WHEN sum(cost) <= any_value(budget) THEN count(*) ELSE 0 END AS runs_of_all
+FROM candidates GROUP BY workload""")
 def design_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = design.design_runs(_problems(spark, sf_dir), KEYS)
-    return chosen.select("workload", "parts", F.round("fraction", 6).alias("fraction"), "machine",
-                         F.round("weight", 3).alias("weight"))
+    """Every design's runs are candidates, keep the budget, and stand in order of their weights."""
+    problems = _problems(spark, sf_dir)
+    chosen = materialize(design.design_runs(problems, KEYS), "chosen")
+    grid = design.candidates(problems).select("workload", "machine", F.round("fraction", 9).alias("f"), "cost", "budget")
+    placed = chosen.withColumn("f", F.round("fraction", 9)).join(grid, ["workload", "machine", "f"], "left")
+    before = F.lag("weight").over(Window.partitionBy("workload").orderBy("position"))
+    placed = placed.withColumn("falls", F.coalesce(before >= F.col("weight"), F.lit(True)))
+    return placed.groupBy("workload").agg(
+        F.first("status").alias("status"), F.bool_and(F.col("cost").isNotNull()).alias("from_candidates"),
+        (F.sum(F.col("weight") * F.col("cost")) <= F.first("budget") + 1e-9).alias("within_budget"),
+        F.bool_and("falls").alias("in_order"),
+        F.when(F.first("status") == "all", F.count(F.lit(1))).otherwise(F.lit(0)).alias("runs_of_all"))
+
+
+@query("design_defaults", """SELECT p_size AS workload, 1 AS min_machines, 16 AS max_machines, 2 AS cores_per_machine,
+  CAST(10 AS DOUBLE) AS budget, 16 AS steps, CAST(count(*) AS BIGINT) AS problems FROM part GROUP BY p_size""")
+def design_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems that only state their partitions get the fixed defaults."""
+    parts = views.table(spark, sf_dir, "part").select(
+        F.col("p_size").alias("workload"), F.lit(3).alias("min_parts"), F.lit(20).alias("max_parts"),
+        F.lit(256).alias("total_parts"))
+    return design.with_defaults(parts).groupBy(
+        "workload", "min_machines", "max_machines", "cores_per_machine", "budget", "steps").agg(
+        F.count(F.lit(1)).alias("problems"))
+
+
+_LARGE = {"min_parts": "256", "max_parts": "2048", "total_parts": "4096", "min_machines": "1",
+          "max_machines": "110 + p_size % 2 * 10", "cores_per_machine": "2", "budget": "CAST(40 AS DOUBLE)", "steps": "120"}
+_LARGE_CANDIDATES = "WITH " + sqltext.CANDIDATES.replace(sqltext.PROBLEMS, f"""problems AS (
+  SELECT DISTINCT p_size % 2 AS workload, {', '.join(f'{text} AS {name}' for name, text in _LARGE.items())} FROM part)""")
+
+
+@query("large_design_certificate", f"""{_LARGE_CANDIDATES}
+SELECT CAST(workload AS INTEGER) AS workload, count(*) AS n, TRUE AS within_bounds, TRUE AS within_budget,
+  TRUE AS proven_optimal, TRUE AS same_as_whole
+FROM candidates GROUP BY workload""")
+def large_design_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Designs of over 10,000 candidates in several tiles, solved in rounds of sums: proven, and equal to the whole solution."""
+    shapes = views.table(spark, sf_dir, "part").select(
+        (F.col("p_size") % 2).alias("workload"), *[F.expr(text).alias(name) for name, text in _LARGE.items()]).distinct()
+    shapes = materialize(shapes, "large-problems")
+    rounds = design.optimal_weights(shapes)
+    whole = design.optimal_weights(shapes, local_candidates=1 << 20)
+    keys = [*design.PROBLEM, "step", "machine"]
+    both = rounds.join(whole.select(*keys, F.col("weight").alias("other")), keys, "full")
+    same = both.groupBy(*design.PROBLEM).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.coalesce(F.abs(F.col("weight") - F.col("other")) <= 1e-4, F.lit(False))).alias("same_as_whole"))
+    checked = (same.join(design.constraint_check(rounds, design.PROBLEM), design.PROBLEM)
+               .join(design.optimality_gap(rounds, design.PROBLEM, "D"), design.PROBLEM))
+    return shapes.join(checked, design.PROBLEM).select(
+        "workload", "n", (F.col("bound_violation") <= 1e-9).alias("within_bounds"),
+        (F.col("budget_violation") <= 1e-9).alias("within_budget"),
+        (F.col("gap") <= _GAP_LIMIT).alias("proven_optimal"), "same_as_whole")
 
 
 _CERTIFICATE_SQL = f"""WITH {sqltext.CANDIDATES}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runcast.functions.draws import LEHMER_MODULUS, LEHMER_MULTIPLIERS
 from runcast.functions.features import MODEL_TERMS
 from runcast.operators import prepare, timemodel
-from runcast.plans import sqltext, views
+from runcast.plans import model_queries, sqltext, views
 from runcast.plans.registry import query
 from runcast.session import scratch_path, spread
 from runcast.sources import mldata, runlogs, sinks, synthetic
@@ -60,17 +60,22 @@ def run_sample_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("time"), 6).alias("time"))
 
 
-@query("feature_csv_round_trip", f"""WITH {sqltext.RUNS}, {sqltext.FEATURES}
-SELECT machine AS z3, count(*) AS n, round(avg(time), 6) AS time, round(avg(z1), 8) AS z1, round(avg(z2), 8) AS z2,
-       round(sum(z0), 1) AS z0
-FROM features GROUP BY machine""")
+# the OLS mask of each group, as in the query of that name, then sums over what it keeps
+@query("feature_csv_round_trip", f"""{model_queries.MASKED}
+SELECT workload, instance_type, count(*) AS n, round(avg(time), 6) AS time,
+  {', '.join(f'round(avg(CASE WHEN k_{i} THEN z{i} ELSE 0 END), 8) AS z{i}' for i in range(1, 6))}, round(sum(z0), 1) AS z0
+FROM features JOIN masks USING (workload, instance_type) GROUP BY workload, instance_type""")
 def feature_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the dropped terms of their group as 0, written with the group keys and read back."""
+    keys = ["workload", "instance_type"]
     path = scratch_path(spark, "features")
-    sinks.write_features(timemodel.model_features(views.runs(spark, sf_dir), []), path)
-    schema = ", ".join(f"{c} double" for c in ["time", *MODEL_TERMS])
-    return mldata.read_csv(spark, path, schema).groupBy("z3").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("time"), 6).alias("time"), F.round(F.avg("z1"), 8).alias("z1"),
-        F.round(F.avg("z2"), 8).alias("z2"), F.round(F.sum("z0"), 1).alias("z0"))
+    features = timemodel.model_features(views.runs(spark, sf_dir), keys)
+    masks = timemodel.with_mask(timemodel.with_ols(timemodel.gram_sums(features, keys)))
+    sinks.write_features(timemodel.selected_features(features, masks, keys), path, keys)
+    schema = ", ".join(["workload string", "instance_type int", *[f"{c} double" for c in ["time", *MODEL_TERMS]]])
+    return mldata.read_csv(spark, path, schema).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("time"), 6).alias("time"),
+        *[F.round(F.avg(z), 8).alias(z) for z in MODEL_TERMS[1:]], F.round(F.sum("z0"), 1).alias("z0"))
 
 
 @query("parquet_round_trip", """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity
@@ -82,10 +87,25 @@ def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", """SELECT count(*) AS rows_in_table, TRUE AS within_table, TRUE AS repeatable, TRUE AS expected_size
+FROM lineitem""")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample holds rows of the table, is the same again, and its size is within five standard deviations."""
     lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return prepare.prepare(lines, 0.1, 4)
+    columns = lines.columns
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*columns, *[F.lit(int(name == other)).alias(other) for other in ("table", "once", "again")])
+
+    every = told(lines, "table")
+    for name in ("once", "again"):
+        every = every.union(told(prepare.prepare(lines, 0.1), name))
+    each = every.groupBy(*columns).agg(*[F.sum(name).alias(name) for name in ("table", "once", "again")])
+    total, drawn = F.sum("table"), F.sum("once")
+    return each.agg(
+        total.alias("rows_in_table"), F.bool_and(F.col("once") <= F.col("table")).alias("within_table"),
+        F.bool_and(F.col("once") == F.col("again")).alias("repeatable"),
+        (F.abs(drawn - 0.1 * total) <= 5 * F.sqrt(total * 0.1 * 0.9)).alias("expected_size"))
 
 
 _BOUND = 0.25 * 2 ** 32 - 0.5
@@ -101,8 +121,8 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cached_input_rows", """SELECT count(*) AS rows_cached, count(*) AS rows_spread FROM lineitem""")
 def cached_input_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, rows = prepare.load_into_cache(
-        prepare.at_most_partitions(views.table(spark, sf_dir, "lineitem").select("l_orderkey"), 16))
-    spread = prepare.exactly_partitions(kept, 8).agg(F.count(F.lit(1)).alias("rows_spread"))
+        prepare.at_most_partitions(views.table(spark, sf_dir, "lineitem").select("l_orderkey")))
+    spread = prepare.exactly_partitions(kept).agg(F.count(F.lit(1)).alias("rows_spread"))
     result = spread.select(F.lit(rows).cast("bigint").alias("rows_cached"), "rows_spread").first()
     kept.unpersist()
     return spark.createDataFrame([tuple(result)], "rows_cached bigint, rows_spread bigint")
@@ -134,10 +154,11 @@ def positive_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.positive_label(_signed(spark, sf_dir))
 
 
-@query("sorted_orders", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("sorted_orders", """SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position
+FROM orders""")
 def sorted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return prepare.sorted_ranges(orders, 8, "o_totalprice", "o_orderkey")
+    return prepare.with_positions(prepare.sorted_ranges(orders, "o_totalprice", "o_orderkey"))
 
 
 def _draw_sql(key: str, block: str, place: str) -> str:

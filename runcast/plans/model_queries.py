@@ -53,6 +53,7 @@ models AS (
   WHERE place = 1)"""
 
 
+MASKED = _MASK
 _MODELS = _nnls_sql(_MASK)
 ALL_KEPT = _nnls_sql(f"{_GRAMS}, masks AS (SELECT {_GROUPS}, {', '.join(f'TRUE AS k_{i}' for i in _TERMS)} FROM grams)")
 _PREDICTED = " + ".join(f"coef_{i} * z{i}" for i in _TERMS)

@@ -89,8 +89,9 @@ def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.variance_mask(_features(spark, sf_dir), _KEYS, _TERMS)
 
 
-_EDGES = ", ".join(f"quantile_disc({c}, [{', '.join(f'{k}/16' for k in range(1, 16))}]) AS edges_{c}"
-                   for c in [*_TERMS, "time"])
+_BINS = association.BINS
+_EDGES = ", ".join(
+    f"quantile_disc({c}, [{', '.join(f'{k}/{_BINS}' for k in range(1, _BINS))}]) AS edges_{c}" for c in [*_TERMS, "time"])
 _BINNED = " UNION ALL ".join(
     f"SELECT workload, instance_type, '{z}' AS feature, len(list_filter(edges_{z}, lambda e: e < {z})) AS bin_x, "
     f"len(list_filter(edges_time, lambda e: e < time)) AS bin_y FROM edged" for z in _TERMS)
@@ -98,24 +99,26 @@ _HISTOGRAM = f"""{_FEATURES}, edges AS (
   SELECT workload, instance_type, {_EDGES} FROM features GROUP BY workload, instance_type),
 edged AS (SELECT * FROM features JOIN edges USING (workload, instance_type)),
 binned AS ({_BINNED}),
-cells AS (SELECT workload, instance_type, feature, bin_x, bin_y, count(*) AS n FROM binned GROUP BY ALL)"""
-_SCORES = f"""{_HISTOGRAM}, grids AS (
-  SELECT workload, instance_type, feature, jx, jy, bin_x // CAST(pow(2, 4 - jx) AS BIGINT) AS cx,
-         bin_y // CAST(pow(2, 4 - jy) AS BIGINT) AS cy, sum(n) AS n
-  FROM cells CROSS JOIN (SELECT unnest(range(1, 5)) AS jx) a CROSS JOIN (SELECT unnest(range(1, 5)) AS jy) b
-  GROUP BY ALL),
+cells AS MATERIALIZED (
+  SELECT workload, instance_type, feature, bin_x, bin_y, count(*) AS n FROM binned GROUP BY ALL)"""
+_SCORES = f"""{_HISTOGRAM}, sizes AS (
+  SELECT workload, instance_type, feature, greatest(pow(sum(n), 0.6), 4) AS allowed, sum(n) AS total FROM cells GROUP BY ALL),
+rows_of AS MATERIALIZED (
+  SELECT workload, instance_type, feature, hx, bin_x * hx // {_BINS} AS cx, bin_y, sum(n) AS n
+  FROM cells CROSS JOIN (SELECT unnest(range(2, {_BINS} + 1)) AS hx) a GROUP BY ALL),
+grids AS (
+  SELECT workload, instance_type, feature, hx, hy, cx, bin_y * hy // {_BINS} AS cy, sum(n) AS n, any_value(total) AS total
+  FROM rows_of JOIN sizes USING (workload, instance_type, feature)
+  JOIN (SELECT unnest(range(2, {_BINS} + 1)) AS hy) b ON hx * hy <= allowed GROUP BY ALL),
 margins AS (
-  SELECT *, sum(n) OVER (PARTITION BY workload, instance_type, feature, jx, jy, cx) AS nx,
-         sum(n) OVER (PARTITION BY workload, instance_type, feature, jx, jy, cy) AS ny,
-         sum(n) OVER (PARTITION BY workload, instance_type, feature, jx, jy) AS total
+  SELECT *, sum(n) OVER (PARTITION BY workload, instance_type, feature, hx, hy, cx) AS nx,
+         sum(n) OVER (PARTITION BY workload, instance_type, feature, hx, hy, cy) AS ny
   FROM grids),
 information AS (
-  SELECT workload, instance_type, feature, jx, jy, any_value(total) AS total,
-         sum(n / total * ln(n * total / (nx * ny))) AS mutual
+  SELECT workload, instance_type, feature, hx, hy, sum(n / total * ln(n * total / (nx * ny))) AS mutual
   FROM margins GROUP BY ALL),
 scores AS (
-  SELECT workload, instance_type, feature, max(mutual / (least(jx, jy) * ln(2))) AS score
-  FROM information WHERE pow(2, jx + jy) <= greatest(pow(total, 0.6), 4) GROUP BY ALL)"""
+  SELECT workload, instance_type, feature, max(mutual / ln(least(hx, hy))) AS score FROM information GROUP BY ALL)"""
 
 
 @query("joint_histogram", f"{_HISTOGRAM} SELECT workload, instance_type, feature, bin_x, bin_y, n FROM cells")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runcast.operators import workloads
 from runcast.plans import sqltext, views
 from runcast.plans.registry import query
+from runcast.session import scratch_path
 from runcast.sources import mldata
 
 _START = 4
@@ -28,18 +30,32 @@ def _first_vectors(vectors: DataFrame) -> np.ndarray:
     return np.array([row["features"].toArray() for row in rows])
 
 
-@query("kmeans_centers")
-def kmeans_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fitted_clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Centres of one fit, and the vectors with their cluster."""
     vectors = _vectors(spark, sf_dir)
-    centers = workloads.kmeans_centers(vectors, workloads.kmeans_fit(vectors))
-    return centers.withColumn("value", F.round("value", 6))
+    model = workloads.kmeans_fit(vectors)
+    return workloads.kmeans_centers(vectors, model), workloads.kmeans_assign(vectors, model)
+
+
+@query("kmeans_centers", """SELECT CAST(cluster AS INTEGER) AS cluster, CAST(dim AS INTEGER) AS dim, TRUE AS is_mean
+FROM (SELECT unnest(range(4)) AS cluster) c CROSS JOIN (
+  SELECT unnest(range(len(any_value(embedding)))) AS dim FROM embeddings) d""")
+def kmeans_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every coordinate of every centre, and whether it is the mean of the rows that are nearest to it."""
+    centers, assigned = _fitted_clusters(spark, sf_dir)
+    means = assigned.groupBy(F.col("prediction").alias("cluster")).agg(
+        vector_to_array(Summarizer.mean(F.col("features"))).alias("mean"))
+    means = means.select("cluster", F.posexplode("mean").alias("dim", "mean"))
+    # the fit ends when centres move less than its tolerance, so they may still differ from the means by that much
+    return centers.join(means, ["cluster", "dim"]).select(
+        "cluster", "dim", (F.abs(F.col("value") - F.col("mean")) <= workloads.CENTER_TOLERANCE).alias("is_mean"))
 
 
-@query("kmeans_sizes")
+@query("kmeans_sizes", """SELECT count(*) AS vectors, CAST(4 AS BIGINT) AS clusters, FALSE AS any_empty FROM embeddings""")
 def kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    assigned = workloads.kmeans_assign(vectors, workloads.kmeans_fit(vectors))
-    return assigned.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    sizes = _fitted_clusters(spark, sf_dir)[1].groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("vectors"), F.count(F.lit(1)).alias("clusters"),
+                     (F.min("n") == 0).alias("any_empty"))
 
 
 @query("kmeans_certificate", """SELECT count(*) AS n, 4 AS clusters, 0 AS misplaced, TRUE AS no_dearer_than_start
@@ -169,10 +185,21 @@ def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workloads.bayes_terms(rows, workloads.bayes_fit(rows)).withColumn("value", F.round("value", 6))
 
 
-@query("document_logistic")
+@query("document_logistic", """SELECT count(*) AS n, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 6) AS constant_loss,
+  TRUE AS no_worse_than_constant, TRUE AS balanced
+FROM documents JOIN labels USING (doc_id) CROSS JOIN (
+  SELECT avg(quality) AS p FROM documents JOIN labels USING (doc_id)) GROUP BY p""")
 def document_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean loss of the fit against that of a constant, and whether its mean probability is the rate of ones."""
     rows = _letter_counts(spark, sf_dir)
-    return workloads.linear_terms(rows, workloads.logistic_fit(rows)).withColumn("value", F.round("value", 6))
+    scored = workloads.logistic_fit(rows).transform(rows)
+    p = F.get(vector_to_array("probability"), 1)
+    rate = F.avg("label")
+    loss = F.avg(-F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+    constant = -(rate * F.ln(rate) + (1 - rate) * F.ln(1 - rate))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(constant, 6).alias("constant_loss"),
+                      (loss <= constant).alias("no_worse_than_constant"),
+                      (F.abs(F.avg(p) - rate) < 0.02).alias("balanced"))
 
 
 _PCA_SQL = f"""WITH {sqltext.RUNS}, spread AS (
@@ -209,12 +236,18 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.get("projected", F.lit(i)), 5).alias(name) for i, name in enumerate(["first", "second"])])
 
 
-@query("fit_timing")
+_TIMED = list(workloads.TIMED)
+
+
+@query("fit_timing", f"""SELECT workload, CAST(fraction AS DOUBLE) AS fraction, TRUE AS cores_known, CAST(1 AS INTEGER) AS machine,
+  TRUE AS took_time
+FROM (SELECT unnest([{', '.join(f"'{name}'" for name in _TIMED)}]) AS workload) w
+CROSS JOIN (SELECT unnest([0.5, 1]) AS fraction) f WHERE (SELECT count(*) FROM embeddings) > 0""")
 def fit_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run samples of our own: seconds of each workload's fit on two input fractions."""
-    vectors = _vectors(spark, sf_dir)
-    lines = _time_by_machine(spark, sf_dir)
-    samples = [workloads.timed_fit(rows, name, fit, fraction, partitions=8)
-               for fraction in (0.5, 1.0)
-               for name, rows, fit in [("kmeans", vectors, workloads.kmeans_fit), ("linear", lines, workloads.linear_fit)]]
-    return spark.createDataFrame(samples, "workload string, cores int, machine int, fraction double, time double")
+    """Run samples of our own: seconds of every workload on two fractions of a libsvm folder."""
+    path = scratch_path(spark, "timed-input")
+    zero_one = _vectors(spark, sf_dir).withColumn("label", (F.col("label") % 2).cast("double"))
+    mldata.write_libsvm(workloads.without_negatives(zero_one), path)
+    samples = workloads.time_workloads(spark, path, [0.5, 1.0])
+    return samples.select("workload", "fraction", (F.col("cores") == spark.sparkContext.defaultParallelism).alias("cores_known"),
+                          "machine", (F.col("time") > 0).alias("took_time"))

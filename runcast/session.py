@@ -52,8 +52,11 @@ def stored_bytes(table: DataFrame) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """One partition per core (of the given keys, if any), ahead of work that costs far more than moving the rows.
+    """At least one partition per core (of the given keys, if any), ahead of work that costs far more than moving rows.
 
-    The number is explicit because adaptive execution would merge small partitions again.
+    Never fewer than shuffles have, so partitions do not grow with the data. The number is explicit because
+    adaptive execution would merge small partitions again.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    spark = df.sparkSession
+    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(count, *keys)

@@ -21,29 +21,38 @@ def test_function_scores_high_and_noise_low(spark):
     assert {r["feature"] for r in kept.collect()} == {"x"}
 
 
+def fine_bins(values, bins=association.BINS):
+    ordered = np.sort(values)
+    edges = [ordered[-(-k * len(ordered) // bins) - 1] for k in range(1, bins)]
+    return np.searchsorted(edges, values, side="left")
+
+
 def test_against_brute_force(spark):
     rows = frame(spark, 700).toPandas()
     found = {r["g"]: r["score"] for r in association.information_scores(frame(spark, 700), ["g"], ["noise"], "time").collect()}
     for group, part in rows.groupby("g"):
-        best = 0.0
-        n = len(part)
-        for jx in range(1, 5):
-            for jy in range(1, 5):
-                if 2 ** (jx + jy) > max(n ** 0.6, 4):
+        n, best = len(part), 0.0
+        x, y = fine_bins(part["noise"].to_numpy()), fine_bins(part["time"].to_numpy())
+        for bx in range(2, association.BINS + 1):
+            for by in range(2, association.BINS + 1):
+                if bx * by > max(n ** 0.6, 4):
                     continue
-                bins = []
-                for column, j in (("noise", jx), ("time", jy)):
-                    ordered = np.sort(part[column].to_numpy())
-                    edges = [ordered[int(np.ceil(k * n / 2 ** j)) - 1] for k in range(1, 2 ** j)]
-                    bins.append(np.searchsorted(edges, part[column].to_numpy(), side="left"))
-                joint = np.zeros((2 ** jx, 2 ** jy))
-                np.add.at(joint, (bins[0], bins[1]), 1 / n)
+                joint = np.zeros((bx, by))
+                np.add.at(joint, (x * bx // association.BINS, y * by // association.BINS), 1 / n)
                 outer = joint.sum(1)[:, None] * joint.sum(0)[None]
                 seen = joint > 0
-                best = max(best, (joint[seen] * np.log(joint[seen] / outer[seen])).sum() / (min(jx, jy) * np.log(2)))
+                best = max(best, (joint[seen] * np.log(joint[seen] / outer[seen])).sum() / np.log(min(bx, by)))
         assert abs(found[group] - best) < 1e-9
 
 
+def test_rows_with_a_null_do_not_count(spark):
+    gapped = frame(spark, 500).withColumn("x", F.when(F.col("x") % 5 != 0, F.col("x"))).withColumn(
+        "time", F.when(F.col("x").isNull() | (F.col("x") % 7 != 0), F.col("time")))
+    cells = association.joint_histograms(gapped, ["g"], ["x", "noise"], "time").groupBy("feature").agg(F.sum("n").alias("n"))
+    assert {r["feature"]: r["n"] for r in cells.collect()} == {
+        "x": gapped.where("x is not null and time is not null").count(), "noise": gapped.where("time is not null").count()}
+
+
 def test_every_row_is_counted(spark):
     cells = association.joint_histograms(frame(spark, 999), ["g"], ["x", "noise"], "time")
     assert cells.groupBy("feature").agg(F.sum("n").alias("n")).where("n <> 999").count() == 0

@@ -101,14 +101,19 @@ def test_partition_counts(spark):
 
 def test_total_order(spark):
     rows = spark.range(1000).select(F.hash("id").alias("k"))
-    found = [r["k"] for r in prepare.sorted_ranges(rows, 5, "k").collect()]
+    found = [r["k"] for r in prepare.sorted_ranges(rows, "k").collect()]
     assert found == sorted(found)
 
 
-def test_timing_row(spark, clouds):
-    name, cores, machines, fraction, seconds = workloads.timed_fit(clouds, "kmeans", workloads.kmeans_fit, 0.2, 4)
-    assert (name, machines, fraction) == ("kmeans", 1, 0.2) and cores > 0 and seconds > 0
-    assert workloads.timed_fit(clouds, "summary", lambda df: stats.vector_summary(df).collect(), 0.2, 4, cached=False)[4] > 0
+def test_timing_rows(spark, clouds):
+    for name in ("kmeans", "summary", "pca"):
+        told, cores, machines, fraction, seconds = workloads.timed_run(lambda: clouds, name, workloads.TIMED[name], 0.2)
+        assert (told, machines, fraction) == (name, 1, 0.2) and cores > 0 and seconds > 0
+
+
+def test_positions_follow_the_order(spark):
+    rows = prepare.with_positions(prepare.sorted_ranges(spark.range(500).select((F.col("id") * 7 % 500).alias("k")), "k"))
+    assert all(r["position"] == r["k"] for r in rows.collect()) and rows.count() == 500
 
 
 def test_scratch_follows_the_session(spark):
