@@ -24,10 +24,10 @@ from runcast.llm.common import unit_interval
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 200_000
+TRAIN_PASSAGES = 100_000
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH_DOCS, RATE, DECAY = 40, 64, 0.01, 1e-4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 HELD_OUT = (3, 1)  # a row whose id's checksum has this remainder is never learned from
 
 
@@ -161,7 +161,7 @@ def fit(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, seed: int = 1
         return AttentionModel(np.zeros(n_features), np.ones(n_features), w)
     mean, scale = features.mean(axis=0), features.std(axis=0)
     scale = np.where(scale > 1e-6, scale, 1.0)
-    x = np.clip((features - mean) / scale, -8, 8).astype(np.float64)
+    x = np.clip((features - mean) / scale, -8, 8).astype(np.float32)
     order = np.argsort(doc, kind="stable")
     x, doc = x[order], doc[order]
     bag_from = np.searchsorted(doc, np.arange(len(labels) + 1))
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_do
     sample = known.orderBy(unit_interval(F.col("doc_id"), "train"), "doc_id").limit(max_docs)
     rows = (docs.select("doc_id", "text").where("text is not null")
             .join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string"), "label", "text"))
-    bags = rows.mapInPandas(_bags, "doc_id string, label double, bag binary").toPandas()
+    bags = rows.mapInPandas(_bags, "doc_id string, label double, bag binary").toArrow().to_pandas()
     bags["size"] = bags["bag"].str.len() // (4 * N_FEATURES)
     bags["order"] = [zlib.crc32(name.encode()) for name in bags["doc_id"]]
     bags = bags.sort_values(["order", "doc_id", "size", "label"], kind="stable")

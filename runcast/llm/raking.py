@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from runcast.llm.common import unit_interval, word_count
 from runcast.session import materialize
 
-ROUNDS = 10
+ROUNDS = 50  # at most; raking ends when no cell changes by more than TOLERANCE in a round
+TOLERANCE = 1e-9
+SQL_ROUNDS = 10
 BUDGET = 0.5
 SEED = "mix"
 # shares of tokens wanted; values that are not named keep the share they have
@@ -53,12 +55,14 @@ def margin_targets(cells: DataFrame, dim: str, shares: Mapping[str, float] | flo
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Add ``weight``: the factor of a cell's tokens under which every marginal meets its target.
 
-    One round scales each dimension in turn. Cells are few against documents; a round ends in a small
-    written table, so the plan never grows. Cells without tokens keep their factor.
+    One round scales each dimension in turn, until nothing changes or ``rounds`` are done. Cells are few
+    against documents; a round ends in a small written table, so the plan never grows. Cells without
+    tokens keep their factor.
     """
     raked = cells.withColumn("weight", F.lit(1.0))
     targets = {dim: materialize(target, f"target-{dim}") for dim, target in targets.items()}
     for _ in range(rounds):
+        raked = raked.withColumn("_last", F.col("weight"))
         for dim, target in targets.items():
             factor = (raked.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_now"))
                       .join(target.withColumnRenamed(dim, "_value"), F.col(dim).eqNullSafe(F.col("_value")))
@@ -67,6 +71,10 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
             raked = (raked.join(factor, F.col(dim).eqNullSafe(F.col("_value")))
                      .withColumn("weight", F.col("weight") * F.col("_factor")).drop("_value", "_factor"))
         raked = materialize(raked, "raked")
+        change = raked.agg(F.max(F.abs(F.col("weight") / F.col("_last") - 1))).first()[0]
+        raked = raked.drop("_last")
+        if change is None or change <= TOLERANCE:
+            break
     return raked
 
 
@@ -119,7 +127,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.round("probability", 6).alias("probability"), "kept", F.round("sample_weight", 6).alias("sample_weight"))
 
 
-def oracle(rounds: int = ROUNDS, budget: float = BUDGET, rate_passes: int = 8) -> str:
+def oracle(rounds: int = SQL_ROUNDS, budget: float = BUDGET, rate_passes: int = 8) -> str:
     """The same fit unrolled in DuckDB."""
     def shares(dim: str, table: Mapping[str, float]) -> str:
         cases = " ".join(f"WHEN '{value}' THEN {share}::DOUBLE" for value, share in table.items())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 19
 MAX_BENCHMARK_BYTES = 256 << 20
 # A-Z become a-z; digits, a-z and the bytes of other letters are word bytes, all else is a gap
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
