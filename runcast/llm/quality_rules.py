@@ -138,3 +138,42 @@ def judged_documents(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"),
         F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def oracle(rules: Sequence[Rule] = DEFAULT_RULES) -> str:
+    """The same rows in DuckDB, with windows compared word by word."""
+    stops = ", ".join(f"'{form}'" for form in sorted({f for word in STOP_WORDS for f in (word, word.capitalize())}))
+
+    def failed(rule: Rule) -> str:
+        tests = [f"{rule.metric} < {rule.low}"] * (rule.low is not None) + [f"{rule.metric} > {rule.high}"] * (rule.high is not None)
+        return f"CASE WHEN n_words >= {rule.min_words} AND ({' OR '.join(tests)}) THEN '{rule.name}' END"
+
+    return rf"""
+WITH
+  split AS MATERIALIZED (
+    SELECT row_number() OVER () AS uid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(t, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+  windows AS (
+    SELECT uid, pos, array_to_string(list_slice(w, pos, pos + {WINDOW - 1}), ' ') AS words FROM (
+      SELECT uid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS pos FROM split WHERE len(w) >= {WINDOW})),
+  repeated AS (
+    SELECT uid, pos FROM (SELECT *, count(*) OVER (PARTITION BY uid, words) AS times FROM windows) WHERE times > 1),
+  covered AS (
+    SELECT uid, count(DISTINCT word) AS n FROM (
+      SELECT uid, unnest(range(pos, pos + {WINDOW})) AS word FROM repeated) GROUP BY uid),
+  counts AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines) AS n_lines,
+      (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+      len(list_filter(w, lambda word: word IN ({stops}))) AS stops
+    FROM split LEFT JOIN covered USING (uid)),
+  metrics AS (
+    SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbol_ratio,
+      stops / nullif(n_words, 0) AS stop_ratio, n_repeat_words / nullif(n_words, 0) AS repeat_ratio,
+      n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio,
+      n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+    FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules,
+  failed_rules = '' AND NOT base_failed AS kept
+FROM (SELECT *, concat_ws(',', {', '.join(failed(rule) for rule in rules)}) AS failed_rules FROM metrics)"""

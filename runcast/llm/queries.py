@@ -66,4 +66,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_ownership": secret_ownership.ORACLE,
     "op7_url_verdicts": url_verdicts.ORACLE,
     "op8_suffix_decontamination": suffix_decontamination.ORACLE,
+    "op10_quality_rules": quality_rules.oracle(),
 }
