@@ -136,6 +136,18 @@ def training_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _models(spark, sf_dir).select(*KEYS, F.round("error_pct", 5).alias("error_pct"))
 
 
+@query("null_workload_scores", f"""WITH {sqltext.RUNS}
+SELECT nullif(workload, 'N') AS workload, instance_type, count(*) AS n, round(avg(time), 5) AS predicted
+FROM runs GROUP BY ALL""")
+def null_workload_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of an unnamed workload are fitted and scored like any other; with an intercept the mean prediction is the mean."""
+    runs = views.runs(spark, sf_dir).withColumn("workload", F.nullif("workload", F.lit("N")))
+    features = timemodel.model_features(runs, KEYS)
+    models = timemodel.fit_time_models(runs, KEYS, select_features=False)
+    return timemodel.score_runs(features, models, KEYS).groupBy(*KEYS).agg(
+        F.count("predicted").alias("n"), F.round(F.avg("predicted"), 5).alias("predicted"))
+
+
 @query("residual_norm", f"""{_MODELS}
 SELECT {_GROUPS}, round(sqrt(sum((time - ({_PREDICTED})) * (time - ({_PREDICTED})))), 5) AS rnorm
 FROM features JOIN models USING ({_GROUPS}) GROUP BY {_GROUPS}""")

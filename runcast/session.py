@@ -33,9 +33,24 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
+_handed_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder."""
-    return f"{scratch_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has made, and count them; frames that read them end with that."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _handed_out:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        deleted += bool(path.getFileSystem(conf).delete(path, True))
+    return deleted
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

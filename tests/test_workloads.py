@@ -1,10 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from runcast.operators import prepare, stats, workloads
-from runcast.session import scratch_folder
+from runcast.session import clear_scratch, materialize, scratch_folder
 from runcast.sources import mldata, synthetic
 
 
@@ -116,5 +118,11 @@ def test_positions_follow_the_order(spark):
     assert all(r["position"] == r["k"] for r in rows.collect()) and rows.count() == 500
 
 
+def test_scratch_tables_can_be_deleted(spark):
+    kept = materialize(spark.range(3), "three")
+    assert kept.count() == 3 and clear_scratch(spark) >= 1
+    assert not os.path.exists(kept.inputFiles()[0].removeprefix("file://")) and clear_scratch(spark) == 0
+
+
 def test_scratch_follows_the_session(spark):
     assert scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
