@@ -182,6 +182,20 @@ def test_differencing_removes_what_neighbours_share(pages):
     assert told == {1: "first & text", 2: "second text", 3: "", None: "", 4: "all of it"}
 
 
+@pytest.mark.parametrize(("markup", "expected"), [
+    ("<main><div>lead</div><article>a<b>b</b> c</article><div class='related-posts'>x</div></main>", "ab c"),
+    ("<main><p>one<p>two<aside>no</aside></main><div>no</div>", "one two"),
+    ("<article>text<section id=comments><article>me too</article></section></article>", "text"),
+    ("<article>text</article><article class='comment'>me too</article>", "text"),
+    ("<nav>menu<article>text</article>", "text"), ("<form><article>text<input name=q></article></form>", "text"),
+    ("<div class='cookie-notice'>we</div><p title=\"a>b\">kept &amp; &#233;&nbsp;\n x</p>", "kept & \u00e9 x"),
+    ("<article>a<br>b<script>if (a<b) x()</script>c<!-- no --> d<p>cut off", "a b c d cut off"),
+    ("<article><p title=\"open>a</p> 1 < 2</article>", "a 1 < 2"), ("", ""), (None, ""),
+])
+def test_markup_alone(markup, expected):
+    assert page_difference.parse_page(markup).main_text() == expected
+
+
 def test_longest_match_is_reported(spark, docs, benchmark):
     rows = {row["doc_id"]: row for row in suffix_decontamination.find_matches(docs, benchmark).collect()}
     assert (rows[2]["longest_match"], rows[2]["longest_at"], rows[2]["longest_item"]) == (13, 2, "q1")
