@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from runcast.llm.common import unit_interval, word_count
 from runcast.session import materialize
 
-ROUNDS = 50  # at most; raking ends when no cell changes by more than TOLERANCE in a round
+ROUNDS = 20  # at most; raking ends when no cell changes by more than TOLERANCE in a round
 TOLERANCE = 1e-9
-SQL_ROUNDS = 10
 BUDGET = 0.5
 SEED = "mix"
 # shares of tokens wanted; values that are not named keep the share they have
@@ -127,7 +126,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.round("probability", 6).alias("probability"), "kept", F.round("sample_weight", 6).alias("sample_weight"))
 
 
-def oracle(rounds: int = SQL_ROUNDS, budget: float = BUDGET, rate_passes: int = 8) -> str:
+def oracle(rounds: int = ROUNDS, budget: float = BUDGET, rate_passes: int = 8) -> str:
     """The same fit unrolled in DuckDB."""
     def shares(dim: str, table: Mapping[str, float]) -> str:
         cases = " ".join(f"WHEN '{value}' THEN {share}::DOUBLE" for value, share in table.items())
