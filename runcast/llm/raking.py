@@ -55,26 +55,28 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     """Add ``weight``: the factor of a cell's tokens under which every marginal meets its target.
 
     One round scales each dimension in turn, until nothing changes or ``rounds`` are done. Cells are few
-    against documents; a round ends in a small written table, so the plan never grows. Cells without
-    tokens keep their factor.
+    against documents; every scaling ends in a small written table, so plans stay as small as one
+    grouping and one join. Cells without tokens keep their factor.
     """
     raked = cells.withColumn("weight", F.lit(1.0))
-    targets = {dim: materialize(target, f"target-{dim}") for dim, target in targets.items()}
+    for dim, target in targets.items():
+        wanted = target.select(F.col(dim).alias("_value"), F.col("target").alias(f"_{dim}_target"))
+        raked = raked.join(wanted, F.col(dim).eqNullSafe(F.col("_value"))).drop("_value")
+    raked = materialize(raked, "raked")
     for _ in range(rounds):
         raked = raked.withColumn("_last", F.col("weight"))
-        for dim, target in targets.items():
-            factor = (raked.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_now"))
-                      .join(target.withColumnRenamed(dim, "_value"), F.col(dim).eqNullSafe(F.col("_value")))
-                      .select("_value", F.when(F.col("_now") > 0, F.col("target") / F.col("_now"))
-                              .otherwise(F.lit(1.0)).alias("_factor")))
-            raked = (raked.join(factor, F.col(dim).eqNullSafe(F.col("_value")))
-                     .withColumn("weight", F.col("weight") * F.col("_factor")).drop("_value", "_factor"))
-        raked = materialize(raked, "raked")
+        for dim in targets:
+            now = F.sum(F.col("tokens") * F.col("weight"))
+            factor = raked.groupBy(F.col(dim).alias("_value")).agg(
+                F.when(now > 0, F.max(f"_{dim}_target") / now).otherwise(F.lit(1.0)).alias("_factor"))
+            scaled = raked.join(factor, F.col(dim).eqNullSafe(F.col("_value")))
+            raked = materialize(scaled.withColumn("weight", F.col("weight") * F.col("_factor")).drop("_value", "_factor"),
+                                "raked")
         change = raked.agg(F.max(F.abs(F.col("weight") / F.col("_last") - 1))).first()[0]
         raked = raked.drop("_last")
         if change is None or change <= TOLERANCE:
             break
-    return raked
+    return raked.drop(*[f"_{dim}_target" for dim in targets])
 
 
 def sampling_rate(raked: DataFrame, budget: float) -> float:
