@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runcast.llm import (attention_quality, context_tree, jump_shards, page_difference, quality_rules, raking,
+from runcast.llm import (attention_quality, context_tree, jump_shards, near_copies, page_difference, quality_rules, raking,
                          secret_ownership, simhash_groups, suffix_decontamination, url_verdicts)
 from runcast.llm.components import components
 
@@ -200,3 +200,37 @@ def test_longest_match_is_reported(spark, docs, benchmark):
     rows = {row["doc_id"]: row for row in suffix_decontamination.find_matches(docs, benchmark).collect()}
     assert (rows[2]["longest_match"], rows[2]["longest_at"], rows[2]["longest_item"]) == (13, 2, "q1")
     assert rows[6]["n_hit"] == 30_000 and rows[6]["n_items"] == 1
+
+
+def test_near_copies_of_one_changed_word_are_one_group(spark):
+    words = [f"w{n * n % 997}x{n}" for n in range(120)]
+    edited = [*words[:60], "other", *words[61:]]  # 5 of 116 shingles differ: similarity 0.91
+    half = [*words[:60], *[f"v{n}" for n in range(60)]]
+    texts = [" ".join(words), " ".join(edited), " ".join(half), " ".join(words).upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+    assert sorted(row["doc_id"] for row in left) == [0, 2]
+
+
+def test_near_copies_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = docs.toPandas().set_index("doc_id")["text"]
+    sets = {}
+    for doc, text in texts.items():
+        own = (text or "").lower().split()
+        sets[doc] = {tuple(own[i:i + 5]) for i in range(max(len(own) - 4, 1))} if own else set()
+    group = {doc: doc for doc in sets}
+
+    def root(doc):
+        while group[doc] != doc:
+            doc = group[doc]
+        return doc
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if a < b and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    expected = {doc: root(doc) for doc in sets}
+    got = {row["doc_id"]: row["component_id"] for row in near_copies.near_copy_groups(docs).collect()}
+    assert got == expected
