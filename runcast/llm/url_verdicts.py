@@ -36,6 +36,9 @@ _PARTS = r"://([^/?#]*)([^?#]*)"
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
 _SHARED = r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*?\bcontent\s*=\s*["']?([^"'\s>]+)"""
+_REFERENCES = ((r"&(?:#0*47|#[xX]0*2[fF]|sol);", "/"), (r"&(?:#0*61|#[xX]0*3[dD]|equals);", "="),
+               (r"&(?:#0*58|#[xX]0*3[aA]|colon);", ":"), (r"&(?:#0*63|#[xX]0*3[fF]|quest);", "?"),
+               (r"&(?:amp|AMP|#0*38|#[xX]0*26);", "&"))
 _TRACKING = r"(?<=[?&])(?:utm_[a-z]+|gclid|fbclid)=[^&]*&?"
 
 
@@ -54,15 +57,45 @@ def url_node(url: Column) -> Column:
     return F.when(url_host(url) != "", F.concat(url_host(url), url_path(url), query))
 
 
+def decoded(text: Column) -> Column:
+    """Character references that stand in URLs; the ampersand's come last."""
+    for regex, char in _REFERENCES:
+        text = F.regexp_replace(text, regex, char)
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments; a ``..`` above the root is dropped."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+                       lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+                       .when(part == ".", done).otherwise(F.concat(done, F.array(part))))
+    ends = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """``target`` as an absolute URL, seen from the page ``url``; null for other schemes and pure fragments."""
+    own_path = F.when(url_path(url) == "", "/").otherwise(url_path(url))
+    root = F.concat(F.lit("http://"), url_host(url))
+    folder, rest = F.regexp_extract(own_path, r"^(.*/)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    path = F.regexp_extract(target, r"^([^?#]*)", 1)
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+            .when(target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|$)") | (url_host(url) == ""), F.lit(None).cast("string"))
+            .when(target.startswith("?"), F.concat(root, url_path(url), target))
+            .when(target.startswith("/"), F.concat(root, without_dots(path), rest))
+            .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest)))
+
+
 def alias_urls(url: Column, html: Column) -> Column:
-    """Absolute URLs that a page declares to be itself; a target that begins with one / stays on the host."""
+    """Absolute URLs that a page declares to be itself, all links of each kind; relative ones start from its URL."""
     html = F.coalesce(html, F.lit(""))
-    found = F.array(*[F.regexp_extract(html, regex, 1) for regex in (_CANONICAL, _REFRESH, _SHARED)])
-    absolute = F.transform(found, lambda target: F.when(target.startswith("//"), F.concat(F.lit("http:"), target))
-                           .when(target.startswith("/"), F.concat(F.lit("http://"), url_host(url), target))
-                           .otherwise(target))
+    found = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(regex), F.lit(1))
+                                for regex in (_CANONICAL, _REFRESH, _SHARED)]))
+    absolute = F.transform(found, lambda target: resolved(url, decoded(target)))
     hinted = html.rlike(r"(?i)canonical|refresh|og:url")
-    return F.when(hinted, F.filter(absolute, lambda target: F.contains(target, F.lit("://")))).otherwise(
+    return F.when(hinted, F.filter(absolute, lambda target: target.isNotNull())).otherwise(
         F.array().cast("array<string>"))
 
 

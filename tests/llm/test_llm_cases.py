@@ -177,6 +177,16 @@ def test_blocks_reach_aliases_but_not_past_an_allow(spark):
     assert verdicts == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow")}
 
 
+def test_relative_escaped_and_repeated_aliases(spark):
+    page = lambda n, url, *targets: (n, url, "".join(f'<link rel="canonical" href="{t}">' for t in targets))
+    rows = [page(1, "http://b.net/es/y", "http://a.org/d/e/f", "http://a.org/q?x=1&amp;y=2", "http://c.org/d/e?id=1"),
+            page(2, "http://a.org/d/e/f", "g.html"), page(3, "http://a.org/d/e/g.html", "../h"), (4, "http://a.org/d/h", None),
+            (5, "http://a.org/q?x=1&y=2", None), page(6, "http://c.org/d/e", "?id=1"), page(7, "http://f.org/", "#top", "mailto:x")]
+    verdicts = {row["page_id"]: row["verdict"] for row in url_verdicts.judged_pages(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert verdicts == {**dict.fromkeys(range(1, 7), "block"), 7: "allow"}
+
+
 def test_differencing_removes_what_neighbours_share(pages):
     told = {row["page_id"]: row["text"] for row in page_difference.main_texts(pages.coalesce(1)).collect()}
     assert told == {1: "first & text", 2: "second text", 3: "", None: "", 4: "all of it"}
