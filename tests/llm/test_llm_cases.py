@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runcast.llm import (attention_quality, context_tree, jump_shards, near_copies, page_difference, quality_rules, raking,
+from runcast.llm import (attention_quality, context_tree, jump_shards, page_difference, quality_rules, raking,
                          secret_ownership, simhash_groups, suffix_decontamination, url_verdicts)
 from runcast.llm.components import components
 
@@ -212,35 +212,32 @@ def test_longest_match_is_reported(spark, docs, benchmark):
     assert rows[6]["n_hit"] == 30_000 and rows[6]["n_items"] == 1
 
 
-def test_near_copies_of_one_changed_word_are_one_group(spark):
-    words = [f"w{n * n % 997}x{n}" for n in range(120)]
-    edited = [*words[:60], "other", *words[61:]]  # 5 of 116 shingles differ: similarity 0.91
-    half = [*words[:60], *[f"v{n}" for n in range(60)]]
-    texts = [" ".join(words), " ".join(edited), " ".join(half), " ".join(words).upper()]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{n * n % 997}x{n}" for n in range(3000)]
+    long, edited = " ".join(words), " ".join([*words[:1500], "other", *words[1501:]])
+    rows = [("b", long, 1), ("a", long.upper(), 2), ("c", edited, 3), (None, long, 4), ("d", "quite another text here", 5),
+            ("d", "quite another text here", 6), ("d", "of the same id but not the same words", 7), (None, None, 8), (None, " ", 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, fp0 int").withColumn("m", F.create_map(F.lit("k"), "fp0"))
+    fps = [simhash_groups.fingerprint(text) for _, text, _ in rows]
+    assert fps[0] == fps[1] and (fps[0] ^ fps[2]).bit_count() <= 3
+    left = simhash_groups.keep_one_per_group(docs)
+    assert left.columns == docs.columns
+    got = sorted(left.collect(), key=lambda row: row["fp0"])
+    assert [row["fp0"] for row in got] == [2, 5, 7, 8]
+    named = {row["fingerprint"]: row["component_id"] for row in simhash_groups.near_duplicate_groups(docs).collect()}
+    assert named[format(fps[0], "016x")] == named[format(fps[2], "016x")] == "a" and named["0" * 16] is None
+
+
+def test_kept_rows_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = {row["doc_id"]: simhash_groups.fingerprint(row["text"]) for row in docs.select("doc_id", "text").collect()}
+    group = {doc: doc for doc in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 3 and group[a] < group[b]:
+                    group[b], changed = group[a], True
     left = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
-    assert sorted(row["doc_id"] for row in left) == [0, 2]
-
-
-def test_near_copies_against_all_pairs(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    texts = docs.toPandas().set_index("doc_id")["text"]
-    sets = {}
-    for doc, text in texts.items():
-        own = (text or "").lower().split()
-        sets[doc] = {tuple(own[i:i + 5]) for i in range(max(len(own) - 4, 1))} if own else set()
-    group = {doc: doc for doc in sets}
-
-    def root(doc):
-        while group[doc] != doc:
-            doc = group[doc]
-        return doc
-
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b]) if a < b else 0
-            if a < b and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and root(a) != root(b):
-                group[max(root(a), root(b))] = min(root(a), root(b))
-    expected = {doc: root(doc) for doc in sets}
-    got = {row["doc_id"]: row["component_id"] for row in near_copies.near_copy_groups(docs).collect()}
-    assert got == expected
+    assert sorted(row["doc_id"] for row in left) == sorted(doc for doc in group if group[doc] == doc)
