@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runcast.llm import attention_quality, jump_shards, near_copies, raking, suffix_decontamination
+from runcast.llm import attention_quality, jump_shards, raking, simhash_groups, suffix_decontamination
 from runcast.llm.common import read_table, word_count
 from runcast.session import materialize
 
@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
-    return near_copies.keep_one_per_group(docs)
+    """One document of each group stays: fingerprints of three-word shingles, linked at 3 bits or fewer."""
+    return simhash_groups.keep_one_per_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
