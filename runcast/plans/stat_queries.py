@@ -144,6 +144,84 @@ def informative_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.informative_features(scores, _KEYS).select(*_KEYS, "feature")
 
 
+# experiments of some 64 runs each, by blocks of orders
+_MOVED = ["z1", "z2", "fraction"]
+_PLACES, _PER_BIN = association.LEAST_CLUMPS, association.CLUMPS_PER_BIN
+_MAXIMAL = f"""{_FEATURES}, pairs AS (
+  SELECT l_orderkey // 16 AS experiment, feature, x, time AS y FROM features
+  UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(_MOVED)}))),
+axes AS (
+  SELECT experiment, feature, side, CASE WHEN side = 0 THEN x ELSE y END AS a, CASE WHEN side = 0 THEN y ELSE x END AS b
+  FROM pairs CROSS JOIN (SELECT unnest([0, 1]) AS side)),
+cells AS (SELECT experiment, feature, side, a, b, count(*) AS n FROM axes GROUP BY ALL),
+totals AS (
+  SELECT experiment, feature, side, total, list_max(list_filter(range(4, 4 + total), lambda c:
+           c = 4 OR c::HUGEINT * c * c * c * c <= total::HUGEINT * total * total)) AS allowed, places, others
+  FROM (SELECT experiment, feature, side, CAST(sum(n) AS BIGINT) AS total, count(DISTINCT a) AS places,
+          count(DISTINCT b) AS others FROM cells GROUP BY ALL)
+  WHERE places > 1 AND others > 1),
+down AS (
+  SELECT experiment, feature, side, b, n, sum(n) OVER (PARTITION BY experiment, feature, side ORDER BY b) - n AS before
+  FROM (SELECT experiment, feature, side, b, sum(n) AS n FROM cells GROUP BY ALL)),
+across AS (
+  SELECT experiment, feature, side, a, n, sum(n) OVER (PARTITION BY experiment, feature, side ORDER BY a) - n AS before,
+    row_number() OVER (PARTITION BY experiment, feature, side ORDER BY a) AS place
+  FROM (SELECT experiment, feature, side, a, sum(n) AS n FROM cells GROUP BY ALL)),
+shapes AS (
+  SELECT *, allowed // nrows AS most, greatest({_PLACES}, {_PER_BIN} * (allowed // nrows)) AS clumps
+  FROM (SELECT *, unnest(range(2, allowed // 2 + 1)) AS nrows FROM totals)),
+gridded AS (
+  SELECT s.experiment, s.feature, s.side, nrows, most, total,
+    CASE WHEN places > clumps THEN CAST(clumps * (2 * x.before + x.n) // (2 * total) AS BIGINT) ELSE x.place END AS clump,
+    CAST(nrows * (2 * d.before + d.n) // (2 * total) AS BIGINT) AS row_, sum(c.n) AS n
+  FROM shapes s JOIN cells c USING (experiment, feature, side) JOIN down d USING (experiment, feature, side, b)
+  JOIN across x USING (experiment, feature, side, a) GROUP BY ALL),
+placed AS (
+  SELECT *, dense_rank() OVER (PARTITION BY experiment, feature, side, nrows ORDER BY clump) AS place FROM gridded),
+kinds AS (SELECT DISTINCT experiment, feature, side, nrows, most, row_ FROM placed),
+spots AS (
+  SELECT *, unnest(range(0, last + 1)) AS place
+  FROM (SELECT experiment, feature, side, nrows, max(place) AS last FROM placed GROUP BY ALL)),
+sums AS (
+  SELECT s.experiment, s.feature, s.side, s.nrows, k.most, s.place, s.last, k.row_,
+    sum(coalesce(p.n, 0)) OVER (PARTITION BY s.experiment, s.feature, s.side, s.nrows, k.row_ ORDER BY s.place) AS up_to
+  FROM spots s JOIN kinds k USING (experiment, feature, side, nrows)
+  LEFT JOIN placed p USING (experiment, feature, side, nrows, place, row_)),
+costs AS MATERIALIZED (
+  SELECT l.experiment, l.feature, l.side, l.nrows, l.most, l.last, l.place AS s, r.place AS t,
+    CASE WHEN sum(r.up_to - l.up_to) > 0 THEN sum(r.up_to - l.up_to) * ln(sum(r.up_to - l.up_to)) ELSE 0 END
+      - sum(CASE WHEN r.up_to > l.up_to THEN (r.up_to - l.up_to) * ln(r.up_to - l.up_to) ELSE 0 END) AS cost
+  FROM sums l JOIN sums r ON l.experiment = r.experiment AND l.feature = r.feature AND l.side = r.side
+    AND l.nrows = r.nrows AND l.row_ = r.row_ AND l.place < r.place
+  GROUP BY ALL),
+best AS (
+  SELECT experiment, feature, side, nrows, most, last, t, 1 AS ncols, cost AS lost FROM costs WHERE s = 0
+  UNION ALL
+  SELECT b.experiment, b.feature, b.side, b.nrows, b.most, b.last, c.t, b.ncols + 1, min(b.lost + c.cost)
+  FROM best b JOIN costs c ON b.experiment = c.experiment AND b.feature = c.feature AND b.side = c.side
+    AND b.nrows = c.nrows AND c.s = b.t
+  WHERE b.ncols < b.most GROUP BY ALL),
+whole AS (
+  SELECT experiment, feature, side, nrows, cost AS full_, total FROM costs
+  JOIN totals USING (experiment, feature, side) WHERE s = 0 AND t = last),
+found AS (
+  SELECT experiment, feature, max((full_ - lost) / total / ln(least(nrows, ncols))) AS score
+  FROM best JOIN whole USING (experiment, feature, side, nrows) WHERE t = last AND ncols > 1 GROUP BY ALL)
+SELECT experiment, feature, round(coalesce(score, 0), 6) AS score
+FROM (SELECT DISTINCT experiment, feature FROM pairs) LEFT JOIN found USING (experiment, feature)"""
+
+
+def _experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = timemodel.model_features(views.runs(spark, sf_dir), ["l_orderkey", "fraction"])
+    return features.withColumn("experiment", F.floor(F.col("l_orderkey") / 16))
+
+
+@query("maximal_information", _MAXIMAL.replace("WITH ", "WITH RECURSIVE ", 1))
+def maximal_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = association.maximal_information(_experiments(spark, sf_dir), ["experiment"], _MOVED, "time")
+    return scores.select("experiment", "feature", (F.round("score", 6) + 0.0).alias("score"))
+
+
 @query("mean_times", """SELECT CAST(2 * (1 + user_id % 16) AS INTEGER) AS cores, event_type AS script,
        count(*) AS repeats, round(avg(value), 6) AS time
 FROM events GROUP BY ALL""")

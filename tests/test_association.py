@@ -1,7 +1,10 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from runcast.operators import association
+from runcast.operators import association, timemodel
+from runcast.plans import views
 
 
 def frame(spark, rows=4000):
@@ -72,3 +75,63 @@ def test_fewer_rows_than_bins(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None)], "g string, v double")
     found = {r["g"]: r["edges"] for r in association.ranked_values(rows, ["g"], ["v"], 4).collect()}
     assert found == {"a": [1.0, 1.0, 2.0]}
+
+
+# ---- grids whose lines move
+
+def best_grid_by_hand(x, y):
+    """All column cuts between distinct values, rows near even, either axis."""
+    best = 0.0
+    for a, b in ((x, y), (y, x)):
+        values, own = np.unique(a, return_inverse=True)
+        _, other, counts = np.unique(b, return_inverse=True, return_counts=True)
+        n, allowed = len(a), max(4, max(c for c in range(1, len(a) + 5) if c ** 5 <= len(a) ** 3))
+        for rows in range(2, allowed // 2 + 1):
+            row = (rows * (2 * (np.cumsum(counts) - counts) + counts) // (2 * n))[other]
+            for columns in range(2, allowed // rows + 1):
+                for cuts in itertools.combinations(range(1, len(values)), columns - 1):
+                    joint = np.zeros((columns, rows))
+                    np.add.at(joint, (np.searchsorted(cuts, own, side="right"), row), 1 / n)
+                    outer, seen = joint.sum(1)[:, None] * joint.sum(0)[None], joint > 0
+                    best = max(best, (joint[seen] * np.log(joint[seen] / outer[seen])).sum() / np.log(min(rows, columns)))
+    return best
+
+
+def test_moved_lines_against_all_grids(spark):
+    rng, rows = np.random.default_rng(4), []
+    for group in range(40):
+        n = int(rng.integers(2, 28))
+        x = rng.integers(0, rng.integers(1, 30), n)
+        rows += [(group, float(a), float(a * a % 7 + b)) for a, b in zip(x, rng.integers(0, 3, n), strict=True)]
+    df = spark.createDataFrame(rows, "g int, x double, time double")
+    by_rows = {r["g"]: r["score"] for r in association.maximal_information(df, ["g"], ["x"], "time").collect()}
+    by_cells = {r["g"]: r["score"] for r in association.maximal_information(df, ["g"], ["x"], "time", small_group=0).collect()}
+    for group in range(40):
+        own = [(x, y) for g, x, y in rows if g == group]
+        expected = best_grid_by_hand(*map(np.array, zip(*own, strict=True)))
+        assert abs(by_rows[group] - expected) < 1e-9 and abs(by_cells[group] - expected) < 1e-9
+
+
+def test_both_ways_to_moved_lines_agree(spark):
+    df = frame(spark, 3000).withColumn("x", F.when(F.col("x") % 9 > 0, F.col("x") % 777))
+    ways = [{(r["g"], r["feature"]): r["score"] for r in association.maximal_information(
+        df, ["g"], ["x", "noise"], "time", small_group=size).collect()} for size in (4096, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 4
+    even = {(r["g"], r["feature"]): r["score"] for r in association.information_scores(df, ["g"], ["x", "noise"], "time").collect()}
+    assert all(ways[0][key] >= even[key] - 0.02 for key in even)
+
+
+def test_moved_lines_reach_even_ones_on_every_group(spark):
+    features = timemodel.model_features(views.runs(spark, "/root/testdata/sf0.01"), ["workload", "instance_type"])
+    args = features, ["workload", "instance_type"], ["z1", "z3"], "time"
+    even = {tuple(r)[:3]: r["score"] for r in association.information_scores(*args).collect()}
+    moved = {tuple(r)[:3]: r["score"] for r in association.maximal_information(*args).collect()}
+    assert len(even) == 18 and all(moved[key] > even[key] for key in even)
+
+
+def test_moved_lines_of_empty_and_constant_columns(spark):
+    rows = spark.createDataFrame([(1, 1.0, None, 2.0), (1, 1.0, None, 3.0), (None, 2.0, 1.0, 1.0), (None, 3.0, 1.0, 2.0)],
+                                 "g int, x double, z double, time double")
+    got = {(r["g"], r["feature"]): r["score"] for r in association.maximal_information(rows, ["g"], ["x", "z"], "time").collect()}
+    assert got == {(1, "x"): 0.0, (None, "x"): 1.0, (None, "z"): 0.0}
+    assert association.maximal_information(rows.where("false"), ["g"], ["x"], "time").count() == 0
