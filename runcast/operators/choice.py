@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runcast.operators.ordered import as_of_join, frontier
+
 
 def transfer_factors(runs: DataFrame, base_scored: str, keys: Sequence[str]) -> DataFrame:
     """Scale from base predictions to the times of each group: least squares through the origin."""
@@ -59,6 +61,30 @@ def fastest_within_budget(options: DataFrame, keys: Sequence[str], budget: float
     return _least(options.where(F.col("cost") <= budget), keys, ["time", "cost", "machine"])
 
 
+def pareto_configs(options: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The configurations that no other one of the same keys beats in both time and cost."""
+    return frontier(options, keys, "time", "cost")
+
+
+def _for_limits(options: DataFrame, limits: DataFrame, keys: Sequence[str], limit: str, along: str, other: str) -> DataFrame:
+    best = frontier(options, keys, along, other)
+    return as_of_join(limits, best, keys, limit, along, [c for c in options.columns if c not in keys])
+
+
+def cheapest_for_deadlines(options: DataFrame, deadlines: DataFrame, keys: Sequence[str], deadline: str) -> DataFrame:
+    """Every row of ``deadlines`` with its cheapest configuration in time, or nulls where none is.
+
+    On the frontier cost falls as time rises, so the last configuration before a deadline is the cheapest: one
+    frontier answers all deadlines of a key.
+    """
+    return _for_limits(options, deadlines, keys, deadline, "time", "cost")
+
+
+def fastest_for_budgets(options: DataFrame, budgets: DataFrame, keys: Sequence[str], budget: str) -> DataFrame:
+    """Every row of ``budgets`` with its fastest configuration for the money, or nulls where none is."""
+    return _for_limits(options, budgets, keys, budget, "cost", "time")
+
+
 def prediction_accuracy(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean absolute relative error of ``predicted`` against the measured ``time``."""
     error = F.abs(F.col("predicted") - F.col("time")) / F.nullif(F.col("time"), F.lit(0.0))

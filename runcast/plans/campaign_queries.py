@@ -10,34 +10,54 @@ from runcast.plans import views
 from runcast.plans.registry import query
 from runcast.session import scratch_path
 from runcast.sources import runlogs, sinks
+from runcast.streaming import averages
 
 # one log line per event: errors print something else, views print the word only
 _CORES = "CAST(2 * (1 + user_id % 8) AS INTEGER)"
 _LOGGED = "FROM events WHERE event_type NOT IN ('error', 'view')"
 
 
-def _run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples read back from log files, one per configuration and script."""
-    events = views.table(spark, sf_dir, "events")
+def _log_lines(events: DataFrame) -> DataFrame:
+    """(run, value): a line per event in the log of its configuration and script."""
     cores = (2 * (1 + F.col("user_id") % 8)).cast("int")
     name = F.concat(F.concat_ws("-", cores.cast("string"), (1 / (1 + F.col("user_id") % 4)).cast("string"),
                                 F.col("event_type")), F.lit(".py"))
     line = (F.when(F.col("event_type") == "error", F.concat(F.lit("lost executor "), F.col("value")))
             .when(F.col("event_type") == "view", F.lit("time: none"))
             .otherwise(F.concat(F.lit("time: "), F.col("value"))))
+    return events.select(name.alias("run"), line.alias("value"))
+
+
+def _run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples read back from log files, one folder per configuration and script."""
     path = scratch_path(spark, "run-logs")
-    sinks.write_run_texts(events.select(name.alias("run"), line.alias("value")), path)
+    sinks.write_run_texts(_log_lines(views.table(spark, sf_dir, "events")), path)
     return runlogs.read_run_logs(spark, path)
 
 
-@query("run_log_means", f"""SELECT {_CORES} AS cores, round(CAST(1 AS DOUBLE) / (1 + user_id % 4), 9) AS fraction,
+_LOG_MEANS = f"""SELECT {_CORES} AS cores, round(CAST(1 AS DOUBLE) / (1 + user_id % 4), 9) AS fraction,
        event_type || '.py' AS script, count(*) AS repeats, round(avg(value), 6) AS time
-{_LOGGED} GROUP BY ALL""")
+{_LOGGED} GROUP BY ALL"""
+
+
+@query("run_log_means", _LOG_MEANS)
 def run_log_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = stats.mean_times(_run_logs(spark, sf_dir), ["cores", "fraction", "script"])
     return means.withColumns({"time": F.round("time", 6), "fraction": F.round("fraction", 9)})
 
 
+@query("streamed_run_means", _LOG_MEANS)
+def streamed_run_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs arrive in three portions, each taken in by a stream that starts anew from its checkpoint."""
+    events = views.table(spark, sf_dir, "events")
+    logs, sink, checkpoint = (scratch_path(spark, label) for label in ("arriving-logs", "running-means", "means-checkpoint"))
+    for portion in range(3):
+        sinks.write_run_texts(_log_lines(events.where(F.col("event_id") % 3 == portion)), f"{logs}/{portion}")
+        averages.update_means(spark, logs, sink, checkpoint)
+    means = averages.read_means(spark, sink)
+    return means.withColumns({"time": F.round("time", 6), "fraction": F.round("fraction", 9)})
+
+
 @query("appended_results", f"""SELECT {_CORES} AS cores, round(CAST(1 AS DOUBLE) / (1 + user_id % 4), 9) AS fraction,
        round(avg(value), 6) AS time, CAST(2 AS BIGINT) AS lines
 {_LOGGED} GROUP BY ALL""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runcast.operators import choice, timemodel
 from runcast.operators.keyed import attach
+from runcast.operators.ordered import as_of_join
 from runcast.plans import model_queries, sqltext, views
 from runcast.plans.model_queries import KEYS, PREDICTIONS, predictions
 from runcast.plans.registry import query
@@ -63,6 +64,66 @@ def fastest_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _picked(choice.fastest_within_budget(_options(spark, sf_dir), ["workload"], _SPENDING))
 
 
+# every measured run is an option here: hundreds of thousands a workload, of which a few are not beaten
+_MEASURED = f"""WITH {sqltext.RUNS}, {_PRICES}, measured AS (
+  SELECT workload, instance_type, CAST(machine AS INTEGER) AS machine, fraction, round(time, 6) AS time,
+         round(time, 6) / 3600 * CAST(machine AS INTEGER) * hourly_price AS cost
+  FROM runs JOIN prices USING (instance_type)),
+ranked AS (
+  SELECT *, min(cost) OVER (PARTITION BY workload ORDER BY time, cost, instance_type, machine, fraction
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below
+  FROM measured),
+frontier AS (SELECT * EXCLUDE (below) FROM ranked WHERE below IS NULL OR cost < below)"""
+_CONFIG = ["instance_type", "machine", "fraction", "time", "cost"]
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = views.runs(spark, sf_dir).select("workload", "instance_type", F.col("machine").cast("int").alias("machine"),
+                                            "fraction", F.round("time", 6).alias("time"))
+    return choice.priced(runs, _prices(spark, sf_dir)).where("cost is not null").select("workload", *_CONFIG)
+
+
+@query("pareto_configs", f"""{_MEASURED}
+SELECT workload, instance_type, machine, fraction, time, round(cost, 9) AS cost FROM frontier""")
+def pareto_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choice.pareto_configs(_measured(spark, sf_dir), ["workload"]).withColumn("cost", F.round("cost", 9))
+
+
+# a deadline and a budget for every order, most of them for one workload
+_LIMITS = """limits AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'A' WHEN o_orderkey % 8 = 1 THEN 'R' ELSE 'N' END AS workload,
+         5 + o_totalprice / 40000 AS deadline, o_totalprice / 10000000 AS budget
+  FROM orders)"""
+
+
+def _limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    workload = F.when(key % 8 == 0, "A").when(key % 8 == 1, "R").otherwise("N").alias("workload")
+    return views.table(spark, sf_dir, "orders").select(
+        "o_orderkey", workload, (5 + price / 40000).alias("deadline"), (price / 10000000).alias("budget"))
+
+
+def _chosen(found: DataFrame, limit: str) -> DataFrame:
+    return found.select("o_orderkey", "workload", limit, "instance_type", "machine", "fraction", "time",
+                        F.round("cost", 9).alias("cost"))
+
+
+@query("choice_by_deadline", f"""{_MEASURED}, {_LIMITS}
+SELECT o_orderkey, l.workload, deadline, instance_type, machine, fraction, time, round(cost, 9) AS cost
+FROM limits l ASOF LEFT JOIN frontier f ON l.workload = f.workload AND l.deadline >= f.time""")
+def choice_by_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = choice.cheapest_for_deadlines(_measured(spark, sf_dir), _limits(spark, sf_dir).drop("budget"), ["workload"], "deadline")
+    return _chosen(found, "deadline")
+
+
+@query("choice_by_budget", f"""{_MEASURED}, {_LIMITS}
+SELECT o_orderkey, l.workload, budget, instance_type, machine, fraction, time, round(cost, 9) AS cost
+FROM limits l ASOF LEFT JOIN frontier f ON l.workload = f.workload AND l.budget >= f.cost""")
+def choice_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = choice.fastest_for_budgets(_measured(spark, sf_dir), _limits(spark, sf_dir).drop("deadline"), ["workload"], "budget")
+    return _chosen(found, "budget")
+
+
 # base model per workload: fitted on instance type 0 alone
 _BASE = model_queries.ALL_KEPT.replace("FROM lineitem) t)", "FROM lineitem) t WHERE instance_type = 0)")
 _SCORED = f"""{_BASE}, every_run AS ({sqltext.RUNS.split('AS (', 1)[1][:-1]}),
@@ -113,3 +174,28 @@ def prediction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = attach(based.where("fraction = 1"), factors, KEYS, stored=True)
     scored = scored.withColumn("predicted", F.col("base") * F.col("factor"))
     return choice.prediction_accuracy(scored, KEYS).withColumn("relative_error", F.round("relative_error", 8))
+
+
+# a line of time over fraction per core for every month and workload, known from the next month on
+_MONTHLY = f"""WITH {sqltext.RUNS.replace('l_discount AS time', 'l_discount AS time, CAST(l_shipdate AS DATE) AS day')},
+models AS (
+  SELECT workload, CAST(date_trunc('month', day) + INTERVAL 1 MONTH AS DATE) AS fitted,
+         regr_slope(time, fraction / cores) AS slope, regr_intercept(time, fraction / cores) AS base, count(*) AS n
+  FROM runs GROUP BY ALL)"""
+
+
+@query("asof_model_scores", f"""{_MONTHLY}
+SELECT l_orderkey, l_linenumber, r.workload, CAST(day AS VARCHAR) AS day, CAST(fitted AS VARCHAR) AS fitted, n,
+       round(base + slope * (fraction / cores), 5) AS predicted
+FROM runs r ASOF LEFT JOIN models m ON r.workload = m.workload AND r.day >= m.fitted""")
+def asof_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run scored by the model that was fitted last before its day; the first month has none."""
+    ratio = F.col("fraction") / F.col("cores")
+    dated = views.dated_runs(spark, sf_dir)
+    models = dated.groupBy("workload", F.add_months(F.trunc("day", "month"), 1).alias("fitted")).agg(
+        F.regr_slope("time", ratio).alias("slope"), F.regr_intercept("time", ratio).alias("base"),
+        F.count(F.lit(1)).alias("n"))
+    scored = as_of_join(dated, models, ["workload"], "day", "fitted", ["fitted", "slope", "base", "n"])
+    return scored.select("l_orderkey", "l_linenumber", "workload", F.col("day").cast("string").alias("day"),
+                         F.col("fitted").cast("string").alias("fitted"), "n",
+                         F.round(F.col("base") + F.col("slope") * ratio, 5).alias("predicted"))

@@ -20,10 +20,17 @@ def write_features(selected: DataFrame, path: str, keys: Sequence[str] = ()) ->
 
 
 def write_run_texts(lines: DataFrame, path: str, order: Sequence[str] = (), compression: str = "none") -> None:
-    """``(run, value)`` rows as one text file per run, in folders ``run=<name>``, lines in the given order."""
-    columns = ["run", *order]
-    placed = lines.repartition("run").sortWithinPartitions(*columns).select("run", "value")
-    placed.write.partitionBy("run").option("compression", compression).text(path)
+    """``(run, value)`` rows as text in folders ``run=<name>``.
+
+    With an ``order`` each run is one file with its lines in that order. Without one a run that holds much of
+    the lines is written by several tasks, as several files, and many small runs by one task.
+    """
+    if order:
+        columns = ["run", *order]
+        placed = lines.repartition("run").sortWithinPartitions(*columns)
+    else:
+        placed = lines.hint("rebalance", "run")
+    placed.select("run", "value").write.partitionBy("run").option("compression", compression).text(path)
 
 
 def append_results(means: DataFrame, path: str) -> None:
