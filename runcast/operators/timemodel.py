@@ -7,16 +7,18 @@ any number of groups, hot ones included; Python sees one row per group.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.functions import solvers
 from runcast.functions.features import MODEL_TERMS, terms
 from runcast.operators.keyed import attach
+from runcast.session import materialize
 
 SIZE = len(MODEL_TERMS)
 GRAM_COLUMNS = [f"g_{i}_{j}" for i, j in combinations_with_replacement(range(SIZE), 2)]
@@ -147,3 +149,93 @@ def predict_grid(models: DataFrame, keys: Sequence[str], *, machines: int = PRED
     grid = grid.withColumn("fraction", F.lit(float(fraction)))
     grid = grid.withColumns(terms(kind, F.col("cores"), F.col("machine"), F.col("fraction")))
     return grid.select(*keys, "machine", "cores", "fraction", dot("coef", MODEL_TERMS).alias("time"))
+
+
+# ---- cross-validation
+
+_SUMS = ["n", *GRAM_COLUMNS, *MOMENT_COLUMNS, "yy"]
+
+
+def fold_models(features: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Per group and fold the model of all other folds, beside the fold's own sums (columns ``own_...``).
+
+    One pass over the rows gives the sums of every fold; what a model leaves out is subtracted from the sums of
+    its group. ``left_n`` are the rows the model has learned from.
+    """
+    sums = gram_sums(features, [*keys, fold]).select(
+        *keys, fold, *_SUMS, *[(F.col(r) * F.col("n")).alias(r) for r in RATIO_COLUMNS])
+    whole = Window.partitionBy(*keys)  # one row per fold
+    kept = [F.col(c).alias(f"own_{c}") for c in [*_SUMS, *RATIO_COLUMNS]]
+    left = [(F.sum(c).over(whole) - F.col(c)).alias("left_n" if c == "n" else c) for c in _SUMS]
+    return with_nnls(keep_all(sums.select(*keys, fold, *kept, *left)))
+
+
+def cross_validation(features: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Held-out errors per group: ``(folds, n, rmse, error_pct)``.
+
+    Every run is predicted by the model that has not seen its fold; ``rmse`` is the root of the mean squared
+    error and ``error_pct`` the mean signed error in percent (runs with time 0 break the latter: null). Both
+    come from the folds' sums. A fold that is all of its group has no model and does not count; a group
+    with one fold only has null errors.
+    """
+    products = []
+    for i, j in combinations_with_replacement(range(SIZE), 2):
+        twice = "" if i == j else "2 * "
+        products.append(f"{twice}get(coef, {i}) * get(coef, {j}) * own_g_{i}_{j}")
+    linear = " + ".join(f"get(coef, {i}) * own_b_{i}" for i in range(SIZE))
+    ratio = " + ".join(f"get(coef, {i}) * own_r_{i}" for i in range(SIZE))
+    told = fold_models(features, keys, fold).withColumns({
+        "squares": F.expr(f"greatest(own_yy - 2 * ({linear}) + {' + '.join(products)}, 0D)"), "ratios": F.expr(ratio)})
+    has_model = F.col("left_n") > 0
+    n = F.sum(F.when(has_model, F.col("own_n")))
+    return told.groupBy(*keys).agg(
+        F.count(F.when(has_model, 1)).alias("folds"), F.coalesce(n, F.lit(0)).alias("n"),
+        F.sqrt(F.sum(F.when(has_model, F.col("squares"))) / n).alias("rmse"),
+        ((F.sum(F.when(has_model, F.col("ratios"))) / n - 1) * 100).alias("error_pct"))
+
+
+# ---- models at every level
+
+def level_sums(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of every subset of the keys from those of the finest groups: keys, ``level``, sums.
+
+    ``level`` is the grouping id: bit k from the right is 1 where the k-th key from the right is left out (and
+    null). A null key of its own keeps its group.
+    """
+    return grams.cube(*keys).agg(F.grouping_id().cast("int").alias("level"), *[F.sum(c).alias(c) for c in _SUMS])
+
+
+def shrunk_sums(levels: DataFrame, keys: Sequence[str], runs: float) -> DataFrame:
+    """Adds to every group ``runs`` runs of its parent's average: the parent leaves out the last key still there.
+
+    From the top down, so a parent has taken over from its own parent before. A group with many more runs than
+    ``runs`` is left much as it is; one without enough to tell its terms apart borrows from above.
+    """
+    stored = materialize(levels, "levels")
+    count = len(keys)
+    depth_of = {level: count - level.bit_count() for level in range(1 << count)}
+    last_key = {level: max((k for k in range(count) if not level >> (count - 1 - k) & 1), default=None) for level in depth_of}
+    done = stored.where(F.col("level") == (1 << count) - 1).select(*keys, "level", F.col("n").cast("double").alias("weight"), *_SUMS)
+    parts = [done]
+    for depth in range(1, count + 1):
+        children = [level for level in depth_of if depth_of[level] == depth]
+        rows = stored.where(F.col("level").isin(children))
+        at = {level: last_key[level] for level in children}
+        up = F.coalesce(*[F.when(F.col("level") == level, F.lit(level | 1 << (count - 1 - k))) for level, k in at.items()])
+        rows = rows.select("*", up.alias("up"), *[
+            F.when(~F.col("level").isin([level for level, k in at.items() if k == place]), F.col(key)).alias(f"up_{key}")
+            for place, key in enumerate(keys)])
+        means = done.select(F.col("level").alias("up"), *[F.col(key).alias(f"up_{key}") for key in keys],
+                            *[(F.col(c) / F.col("weight")).alias(f"mean_{c}") for c in _SUMS[1:]])
+        joined = attach(rows, means, ["up", *[f"up_{key}" for key in keys]])
+        done = joined.select(*keys, "level", (F.col("n") + runs).alias("weight"), "n",
+                             *[(F.col(c) + runs * F.col(f"mean_{c}")).alias(c) for c in _SUMS[1:]])
+        parts.append(done)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def level_models(features: DataFrame, keys: Sequence[str], runs: float = 0.0) -> DataFrame:
+    """(keys, level, n, coef) for every subset of the keys, shrunk towards the level above by ``runs`` runs."""
+    levels = level_sums(gram_sums(features, keys), keys)
+    sums = shrunk_sums(levels, keys, runs) if runs else levels
+    return with_nnls(keep_all(sums)).select(*keys, "level", "n", "coef")

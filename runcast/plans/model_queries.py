@@ -191,3 +191,67 @@ def gram_design_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = timemodel.model_features(views.runs(spark, sf_dir), ["workload"], kind="design")
     grams = timemodel.gram_sums(features, ["workload"])
     return grams.select("workload", "n", *[F.round(F.col(c) / F.col("n"), 5).alias(c) for c in _MEAN_MOMENTS[:-1]])
+
+
+# every fold refitted from the rows of the other folds
+_FOLDS = 5
+_FOLDED_MODELS = (
+    ALL_KEPT.replace("instance_type, machine, 2 *", f"instance_type, CAST(l_orderkey % {_FOLDS} AS INTEGER) AS own, machine, 2 *")
+    .replace("workload, instance_type", "workload, instance_type, fold")
+    .replace("workload, instance_type, fold, CAST(l_orderkey", "workload, instance_type, CAST(l_orderkey")
+    .replace("FROM features GROUP BY", f"FROM (SELECT *, unnest(range({_FOLDS})) AS fold FROM features) x "
+                                       "WHERE own <> fold GROUP BY"))
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = views.runs(spark, sf_dir).withColumn("fold", (F.col("l_orderkey") % _FOLDS).cast("int"))
+    return timemodel.model_features(runs, [*KEYS, "fold"])
+
+
+@query("fold_coef", f"""{_FOLDED_MODELS} SELECT workload, instance_type, CAST(fold AS INTEGER) AS fold, {_ROUNDED_COEF}
+FROM models""")
+def fold_coef(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timemodel.fold_models(_folded(spark, sf_dir), KEYS).select(*KEYS, "fold", *_coef_columns())
+
+
+@query("cross_validation", f"""{_FOLDED_MODELS}
+SELECT f.workload, f.instance_type, count(DISTINCT own) AS folds, count(*) AS n,
+       round(sqrt(avg((time - ({_PREDICTED})) * (time - ({_PREDICTED})))), 5) AS rmse,
+       round((avg(({_PREDICTED}) / time) - 1) * 100, 5) AS error_pct
+FROM features f JOIN models m ON f.workload = m.workload AND f.instance_type = m.instance_type AND f.own = m.fold
+GROUP BY f.workload, f.instance_type""")
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = timemodel.cross_validation(_folded(spark, sf_dir), KEYS)
+    return errors.withColumns({"rmse": F.round("rmse", 5), "error_pct": F.round("error_pct", 5)})
+
+
+# sums of every level, shrunk from the top down; left out keys are named here, as nulls do not join
+_BORROWED = 40.0
+_SUM_NAMES = [f"g_{i}_{j}" for i, j in sqltext.pairs(6)] + [f"b_{i}" for i in _TERMS]
+
+
+def _borrow(level: str, parent: str, same: str) -> str:
+    sums = ", ".join(f"c.{s} + {_BORROWED} * p.{s} / p.weight AS {s}" for s in _SUM_NAMES)
+    return (f"SELECT c.workload, c.instance_type, c.level, c.n, c.n + {_BORROWED} AS weight, {sums} "
+            f"FROM levels c JOIN {parent} p ON {same} WHERE c.level IN ({level})")
+
+
+_LEVELS = ALL_KEPT.replace(
+    f"""grams AS (
+  SELECT {_GROUPS}, count(*) AS n, {sqltext.moment_sums()}, sum(time * time) AS yy
+  FROM features GROUP BY {_GROUPS})""", f"""levels AS (
+  SELECT coalesce(workload, '*') AS workload, coalesce(instance_type, -1) AS instance_type,
+    CAST(grouping_id(workload, instance_type) AS INTEGER) AS level, count(*) AS n, {sqltext.moment_sums()}
+  FROM features GROUP BY GROUPING SETS (({_GROUPS}), (workload), (instance_type), ())),
+top AS (SELECT workload, instance_type, level, n, n AS weight, {', '.join(_SUM_NAMES)} FROM levels WHERE level = 3),
+middle AS ({_borrow('1, 2', 'top', 'TRUE')}),
+finest AS ({_borrow('0', 'middle', "p.level = 1 AND p.workload = c.workload")}),
+grams AS (SELECT * FROM top UNION ALL BY NAME SELECT * FROM middle UNION ALL BY NAME SELECT * FROM finest)""")
+
+
+@query("level_models", f"""{_LEVELS}
+SELECT nullif(workload, '*') AS workload, nullif(instance_type, -1) AS instance_type, level, n, {_ROUNDED_COEF}
+FROM models JOIN grams USING ({_GROUPS})""")
+def level_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = timemodel.level_models(_features(spark, sf_dir), KEYS, _BORROWED)
+    return models.select(*KEYS, "level", "n", *_coef_columns())
