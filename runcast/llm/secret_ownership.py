@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runcast.llm.common import let, running
 from runcast.session import materialize
 
 
@@ -46,21 +47,36 @@ def spans_of(text: Column, pattern: Pattern, rank: int) -> Column:
     gaps = F.split(text, regex)
     whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     value = whole if pattern.group == 0 else F.regexp_extract_all(text, F.lit(regex), F.lit(pattern.group))
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found"))
-
-    def add(acc: Column, piece: Column) -> Column:
-        begin = acc["at"] + F.length(piece["gap"])
-        stop = begin + F.length(piece["whole"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"),
-                        F.lit(pattern.kind).alias("kind"), piece["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
-
-    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    found = F.aggregate(pieces, start, add, lambda acc: acc["found"])
-    kept = F.filter(found, lambda span: F.length(span["value"]) >= pattern.least)
+    pieces = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda gap, whole: F.struct(
+        F.length(gap).alias("gap"), F.length(whole).alias("whole")))
+
+    def placed(pieces: Column) -> Column:
+        stops = running(F.transform(pieces, lambda p: (p["gap"] + p["whole"]).cast("bigint")), 0, lambda a, b: a + b)
+        spans = F.zip_with(F.zip_with(stops, pieces, lambda stop, piece: F.struct(
+            (stop - piece["whole"]).alias("start"), stop.alias("stop"))), value, lambda at, value: F.struct(
+                at["start"].alias("start"), F.lit(rank).alias("rank"), at["stop"].alias("stop"),
+                F.lit(pattern.kind).alias("kind"), value.alias("value")))
+        return F.filter(spans, lambda span: F.length(span["value"]) >= pattern.least)
+
     present = text.rlike(regex) if pattern.hint is None else F.contains(text, F.lit(pattern.hint)) & text.rlike(regex)
-    return F.when(present, kept).otherwise(none)
+    return F.when(present, let(pieces, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The ``spans`` that touch none of the ``others``, by one pass over both in order."""
+    def told(merged: Column) -> Column:
+        is_other = lambda s: s["rank"] < len(BASE_PATTERNS)
+        reached = running(F.transform(merged, lambda s: F.when(is_other(s), s["stop"]).otherwise(F.lit(-1).cast("bigint"))),
+                          -1, F.greatest)
+        following = F.reverse(running(F.reverse(F.transform(merged, lambda s: F.when(is_other(s), s["start"]).otherwise(
+            F.lit(2**62)))), 2**62, F.least))
+        near = F.zip_with(F.zip_with(reached, following, lambda stop, start: F.struct(stop.alias("stop"), start.alias("start"))),
+                          merged, lambda base, span: F.struct(base.alias("base"), span.alias("span")))
+        free = F.filter(near, lambda n: ~is_other(n["span"]) & (n["base"]["stop"] <= n["span"]["start"])
+                        & (n["base"]["start"] >= n["span"]["stop"]))
+        return F.transform(free, lambda n: n["span"])
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.array_sort(F.concat(spans, others)), told)).otherwise(spans)
 
 
 def _generated_look(value: Column) -> Column:
@@ -74,9 +90,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*[spans_of(text, pattern, rank) for rank, pattern in enumerate(BASE_PATTERNS)]))
     opaque = F.filter(spans_of(text, OPAQUE, len(BASE_PATTERNS)), lambda span: _generated_look(span["value"]))
     found = docs.withColumn("base", base).withColumn("opaque", opaque)
-    outside = F.filter("opaque", lambda o: ~F.exists(
-        "base", lambda b: (o["start"] < b["stop"]) & (b["start"] < o["stop"])))
-    return found.withColumn("opaque", outside)
+    return found.withColumn("opaque", _apart(F.col("opaque"), F.col("base")))
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
@@ -125,23 +139,40 @@ def _told(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each span's characters replaced; overlapping spans are replaced once."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    """The text with each span's characters replaced; overlapping spans are replaced once.
+
+    Runs of spans, about the root of their number, share one cut of the text, as a cut has to count from its start.
+    """
+    def cut(text: Column, span: Column, offset: Column) -> Column:
+        kept = F.substring(text, (span["before"] - offset + 1).cast("int"),
+                           F.greatest(span["start"] - span["before"], F.lit(0)).cast("int"))
+        return F.when(span["start"] >= span["before"], F.concat(kept, F.lit(mark))).otherwise("")
+
+    def by_runs(placed: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(placed))).cast("int")
+
+        def run_of(run: Column) -> Column:
+            offset, end = F.element_at(run, 1)["before"], F.element_at(run, -1)["reached"]
+            return let(F.substring(text, (offset + 1).cast("int"), (end - offset).cast("int")), lambda part: F.array_join(
+                F.transform(run, lambda span: cut(part, span, offset)), ""))
+
+        runs = F.transform(F.sequence(F.lit(0), F.size(placed) - 1, step), lambda at: let(F.slice(placed, at + 1, step), run_of))
+        rest = F.substring(text, (F.element_at(placed, -1)["reached"] + 1).cast("int"), 2**31 - 1)
+        return F.concat(F.array_join(runs, ""), rest)
 
-    def cut(acc: Column, span: Column) -> Column:
-        keep = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(span["start"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = span["stop"] > acc["at"]
-        return F.when(fresh, F.struct(F.concat(acc["out"], keep, F.when(span["start"] >= acc["at"], F.lit(mark))
-                                               .otherwise("")).alias("out"), span["stop"].alias("at"))).otherwise(acc)
+    def placed(spans: Column) -> Column:
+        return let(running(F.transform(spans, lambda s: s["stop"]), 0, F.greatest), lambda reached: F.zip_with(
+            F.zip_with(spans, reached, lambda span, stop: F.struct(span["start"].alias("start"), stop.alias("reached"))),
+            F.slice(F.concat(F.array(F.lit(0).cast("bigint")), reached), F.lit(1), F.size(reached)),
+            lambda span, before: F.struct(span["start"].alias("start"), span["reached"].alias("reached"), before.alias("before"))))
 
-    return F.aggregate(F.array_sort(spans), start, cut,
-                       lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), 2**31 - 1)))
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), lambda own: let(placed(own), by_runs))).otherwise(text)
 
 
 def secret_documents(docs: DataFrame) -> DataFrame:
     """The contract's row of every document. Repository: source and language; owner: source.
 
-    A null text has no spans; repeated rows stay repeated.
+    A null text has no spans; repeated rows stay repeated; an empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", F.struct("source", "lang").alias("_repository"), F.col("source").alias("_owner"))
     kind_count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, operator by operator."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from runcast.llm import (attention_quality, context_tree, jump_shards, page_difference, quality_rules, raking,
                          secret_ownership, simhash_groups, suffix_decontamination, url_verdicts)
+from runcast.llm.common import running
 from runcast.llm.components import components
 
 PROSE = "the cat sat on the mat and then it went out of the old house to look for a small bird in the tree "
@@ -167,6 +170,42 @@ def test_secret_spans_and_redaction(spark, docs):
     assert found.select(secret_ownership.redact(F.col("text"), F.col("base"))).first()[0] == "a [secret] b"
 
 
+def test_running_totals(spark):
+    rows = [(n, [(7 * i * i - 5) % 13 - 6 for i in range(n)]) for n in (0, 1, 2, 3, 10, 101)]
+    df = spark.createDataFrame(rows, "n int, v array<bigint>")
+    got = df.select("v", running(F.col("v"), 0, lambda a, b: a + b).alias("s"), running(F.col("v"), -9, F.greatest).alias("m"))
+    for row in got.collect():
+        assert row["s"] == np.cumsum(row["v"]).tolist() and row["m"] == np.maximum.accumulate(row["v"] or [0])[:len(row["v"])].tolist()
+
+
+def test_many_spans_in_one_text(spark):
+    keys = [f"{n * 2654435761 % 2**32:08x}" * 3 for n in range(100_000)]  # 24 hex digits each
+    text = "\u00e9".join(keys)
+    row = (1, text, "en", "a")
+    began = time.time()
+    told = secret_ownership.secret_documents(spark.createDataFrame([row], "doc_id long, text string, lang string, source string")).first()
+    assert time.time() - began < 60
+    assert told["n_hex"] == 100_000 and told["spans"].split(",")[-1] == f"hex:{25 * 99_999}:{25 * 99_999 + 24}"
+
+
+def test_redaction_of_touching_and_overlapping_spans(spark):
+    text, rng = "abc\U0001f600defghij" * 40, np.random.default_rng(8)
+    spans = sorted((int(a), 0, int(a + n), "hex", "v") for a, n in zip(rng.integers(0, 380, 60), rng.integers(1, 12, 60), strict=True))
+    expected, at = "", 0
+    for start, _, stop, _, _ in spans:
+        if start >= at:
+            expected += text[at:start] + "[secret]"
+        at = max(at, stop)
+    df = spark.createDataFrame([(text, spans)], f"text string, s array<{secret_ownership.SPAN}>")
+    assert df.select(secret_ownership.redact(F.col("text"), F.col("s"))).first()[0] == expected + text[at:]
+    bases = [(int(a), int(r), int(a + n), "hex", "v") for a, n, r in zip(rng.integers(0, 900, 50), rng.integers(1, 9, 50),
+                                                                        rng.integers(0, 3, 50), strict=True)]
+    others = [(int(a), 3, int(a + n), "opaque", "v") for a, n in zip(rng.integers(0, 900, 50), rng.integers(1, 9, 50), strict=True)]
+    df = spark.createDataFrame([(bases, others)], f"b array<{secret_ownership.SPAN}>, o array<{secret_ownership.SPAN}>")
+    left = {tuple(s) for s in df.select(secret_ownership._apart(F.col("o"), F.col("b"))).first()[0]}
+    assert left == {o for o in others if not any(o[0] < b[2] and b[0] < o[2] for b in bases)}
+
+
 def test_blocks_reach_aliases_but_not_past_an_allow(spark):
     page = lambda n, url, target: (n, url, f'<head><link href="{target}" rel="canonical"></head>')
     rows = [page(1, "http://a.org/x", "http://b.net/es/y"), page(2, "http://c.org/z?utm_source=q", "http://a.org/x#top"),
