@@ -1,24 +1,46 @@
 """HTML extraction by differencing each page with its nearest pages by URL.
 
-Pages are range-partitioned and sorted by host and path, so the neighbours of a page stand beside it and a
-host with a third of all pages is spread over many tasks. Neighbours' text lines (blocks) are aligned by
-longest common subsequence; lines they share are the site's frame and go. Two checks follow, since
-neighbours also share real text (copies, quoted passages): lines inside an article stay, and lines inside
-menus, footers, forms, notices and the like go even if no neighbour has them.
+Every page becomes its text lines (blocks), each with the path of elements it stands under. Copies of a page
+are one. Pages are put in order of host and path, and each is compared with the NEIGHBOURS different pages
+before it: lines are aligned by longest common subsequence, and a line that some neighbour has too counts as
+shared. Neighbours that have most of a page's text are other versions of it; they say nothing about the
+frame. Lines vote for the element path they stand under: where a path's lines are shared FRAME_SHARE of the
+time or more, the path is the site's frame on that host and its lines go, also those this page alone has. A
+host's votes are joined by those of all hosts, as if these were PRIOR_LINES more lines. What pages do not
+share stays, also where two pages quote one text.
+
+Markup corrects what differencing cannot tell: lines of paths that are not shared but that stand in an advert,
+a comment, a footer or the like go; lines in an article go only if their path is shared SURE_SHARE of the time
+on THIN_PAGES pages or more; a page without any other page of its host is told by its markup alone.
+
+The order is cut into blocks by position, each with the last pages of the block before it, so the result does
+not depend on how rows lie in partitions, and a host with a third of all pages is spread over many tasks.
+Only numbers of lines and paths move for that; the pages themselves are read again at the end.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.llm.url_verdicts import url_host, url_path
+from runcast.operators.keyed import attach
+from runcast.session import materialize
+
+NEIGHBOURS = 32  # pages before it that a page is compared with
+BLOCK_PAGES = 512
+FRAME_SHARE, SURE_SHARE, PRIOR_LINES = 0.2, 0.6, 100
+COPY_SHARE = 0.7  # a neighbour with so much of the smaller page's text is a version of it
+THIN_PAGES = 3
 
 # fixed values of HTML: elements that end a line, hold no text, or hold no main text
 _BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset
@@ -52,15 +74,19 @@ class Page:
     lines: list[str] = field(default_factory=list)
     in_article: list[int] = field(default_factory=list)  # 2 inside an article, 1 inside the main part only
     in_frame: list[bool] = field(default_factory=list)
-    shared: set[int] = field(default_factory=set)
-    compared: bool = False
+    paths: list[str] = field(default_factory=list)
 
-    def main_text(self) -> str:
-        keep = [i for i in range(len(self.lines))
-                if not self.in_frame[i] and (self.in_article[i] or i not in self.shared)]
-        level = max((self.in_article[i] for i in keep), default=0)
-        keep = [i for i in keep if self.in_article[i] == level]
-        return " ".join(self.lines[i] for i in keep)
+    def main_text(self, frame: dict[str, bool] | None = None) -> str:
+        """The lines outside the site's ``frame``: element paths, and whether they surely are."""
+        return " ".join(self.lines[i] for i in self.kept(frame))
+
+    def kept(self, frame: dict[str, bool] | None) -> list[int]:
+        if frame is None:  # nothing to compare with: the innermost part that has text
+            keep = [i for i in range(len(self.lines)) if not self.in_frame[i]]
+            level = max((self.in_article[i] for i in keep), default=0)
+            return [i for i in keep if self.in_article[i] == level]
+        goes = lambda i: frame.get(self.paths[i], False) or self.paths[i] in frame and not self.in_article[i]
+        return [i for i in range(len(self.lines)) if not self.in_frame[i] and not goes(i)]
 
 
 def _is_frame(name: str, attrs: str, in_article: bool) -> bool:
@@ -89,6 +115,7 @@ def parse_page(markup: str | None) -> Page:
                 page.lines.append(line)
                 page.in_article.append(2 if depth["article"] else 1 if depth["main"] else 0)
                 page.in_frame.append(frames > 0)
+                page.paths.append(">".join(dict.fromkeys(name for name, _ in stack if name in _BLOCKS)))
 
     for token in _TOKEN.finditer(markup or ""):
         text, name = token["text"], token["name"]
@@ -157,48 +184,136 @@ def common_lines(left: list[str], right: list[str]) -> tuple[set[int], set[int]]
     return used_left, used_right
 
 
-def _compare(before: Page, page: Page) -> None:
-    if before.lines == page.lines:
-        page.shared = before.shared  # a copy says nothing about the frame; it shares what its twin shares
-        return
-    old, new = common_lines(before.lines, page.lines)
-    before.shared |= old
-    page.shared |= new
+def _line_number(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+_LINES = ["lines", "sizes", "places"]
+_SIGNED = "host string, path string, url string, content long, lines array<long>, sizes array<long>, places array<string>"
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the lines of every page of a host, their sizes and their element paths."""
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        pages = [parse_page(markup) for markup in batch.column("html").to_pylist()]
+        lines = [[_line_number(line) for line in page.lines] for page in pages]
+        content = [xxhash.xxh64_intdigest(repr((own, page.paths)).encode("utf-8", "surrogatepass")) - (1 << 63)
+                   for own, page in zip(lines, pages, strict=True)]
+        yield pa.record_batch([*[batch.column(c) for c in ("host", "path", "url")], pa.array(content, pa.int64()),
+                               pa.array(lines, longs), pa.array([[len(line) for line in page.lines] for page in pages], longs),
+                               pa.array([page.paths for page in pages], pa.list_(pa.string()))],
+                              ["host", "path", "url", "content", *_LINES])
+
+
+@dataclass
+class Lines:
+    """One page as numbers."""
+
+    lines: list[int]
+    sizes: list[int]
+    places: list[str]
 
+    def __post_init__(self) -> None:
+        self.own, self.whole = set(self.lines), sum(self.sizes)
 
-def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by host and path; a page is told once its next neighbour has been seen."""
-    held: tuple | None = None
-    for frame in frames:
-        out = []
-        for page_id, url, host, markup in zip(frame["page_id"], frame["url"], frame["host"], frame["html"], strict=True):
-            page = parse_page(markup)
-            if held is not None:
-                if host and held[2] == host:
-                    _compare(held[3], page)
-                out.append((held[0], held[1], held[3].main_text()))
-            held = (page_id, url, host, page)
-        if out:
-            yield _rows(out)
-    if held is not None:
-        yield _rows([(held[0], held[1], held[3].main_text())])
+
+def shared_lines(page: Lines, before: list[Lines]) -> set[int] | None:
+    """Lines of the page that an alignment with one of the pages before it has; None if none could be compared."""
+    shared: set[int] = set()
+    compared = False
+    for other in before:
+        if page.own.isdisjoint(other.own):
+            compared = True
+            continue
+        old, new = common_lines(other.lines, page.lines)
+        if sum(page.sizes[i] for i in new) > COPY_SHARE * min(page.whole, other.whole):
+            continue
+        compared = True
+        shared |= new
+    return shared if compared else None
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines, shared lines and pages by host and element path; rows come by block and in order, context first."""
+    names = ["host", "place", "n", "shared", "pages"]
+    block, before, host = None, [], None
+    counts: dict[str, list[int]] = {}
+
+    def told() -> pa.RecordBatch:
+        columns = [[host] * len(counts), list(counts), *map(list, zip(*counts.values(), strict=True))]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), *[pa.int64()] * 3],
+                                                               strict=True)], names)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("block", "context", "host", *_LINES)]
+        for own_block, context, own_host, *own in zip(*columns, strict=True):
+            if own_host != host or own_block != block:
+                if counts:
+                    yield told()
+                block, host, before, counts = own_block, own_host, [], {}
+            page = Lines(*own)
+            shared = None if context else shared_lines(page, before)
+            if shared is not None:
+                for path, n in Counter(page.places).items():
+                    count = counts.setdefault(path, [0, 0, 0])
+                    count[0] += n
+                    count[2] += 1
+                for line in shared:
+                    counts[page.places[line]][1] += 1
+            before = [*before, page][-NEIGHBOURS:]
+    if counts:
+        yield told()
+
+
+def path_votes(pages: DataFrame) -> DataFrame:
+    """(host, place, n, shared, pages, share) of every element path of hosts with at least two different pages.
+
+    ``share`` has the votes of all hosts in it.
+    """
+    signed = pages.where("host <> ''").mapInArrow(_signatures, _SIGNED)
+    first = F.min_by(F.struct("path", "url", *_LINES), F.struct("path", "url")).alias("first")
+    distinct = signed.groupBy("host", "content").agg(first)
+    order = ["host", "path", "url", "content"]
+    ranged = materialize(distinct.select("host", "content", "first.*").repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "page-lines")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("held"), F.min("at").alias("first_at"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("held").over(earlier), F.lit(0))).select("part", "first_at", "offset")
+    placed = attach(ranged, offsets, ["part"]).withColumn("number", F.col("at") - F.col("first_at") + F.col("offset"))
+    block = F.floor(F.col("number") / BLOCK_PAGES)
+    late = F.col("number") % BLOCK_PAGES >= BLOCK_PAGES - NEIGHBOURS  # these open the next block as well
+    use = lambda number, context: F.struct(number.alias("block"), F.lit(context).alias("context"))
+    uses = F.when(late, F.array(use(block, False), use(block + 1, True))).otherwise(F.array(use(block, False)))
+    blocks = placed.select("number", "host", *_LINES, F.inline(uses))
+    dealt = blocks.repartition("block").sortWithinPartitions("block", "number")
+    votes = materialize(dealt.mapInArrow(_votes, "host string, place string, n long, shared long, pages long").groupBy(
+        "host", "place").agg(*[F.sum(c).alias(c) for c in ("n", "shared", "pages")]), "votes")
+    overall = votes.groupBy("place").agg((F.sum("shared") / F.sum("n")).alias("overall"))
+    share = (F.col("shared") + PRIOR_LINES * F.col("overall")) / (F.col("n") + PRIOR_LINES)
+    return attach(votes, overall, ["place"]).withColumn("share", share).drop("overall")
 
 
-def _rows(found: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(found, columns=["page_id", "url", "text"])
-    out["n_chars"] = out["text"].str.len().astype("int64")
-    return out
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for frame, markup in zip(batch.column("frame").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            texts.append(parse_page(markup).main_text(None if frame is None else {f["place"]: f["sure"] for f in frame}))
+        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                               pa.array([len(text) for text in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A null or empty page has an empty text. A page that stands alone (the only one of its host in its
-    range, or without a host) is told by its markup only. Repeated pages stay repeated.
+    A null or empty page has an empty text. A page without a host, or whose host has no other page, is told by
+    its markup only. Repeated pages stay repeated; an empty table gives no rows.
     """
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", url_host(F.col("url")).alias("host"),
-                        url_path(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
-    order = ["host", "path", "url", "page_id"]
-    near = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("path")
-    texts = near.mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
-    return texts.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
+    rows = pages.select("page_id", "url", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"),
+                        F.coalesce(url_path(F.col("url")), F.lit("")).alias("path"), F.col("html").cast("string").alias("html"))
+    sure = (F.col("share") >= SURE_SHARE) & (F.col("pages") >= THIN_PAGES)
+    frames = path_votes(rows).groupBy("host").agg(F.collect_list(F.when(
+        F.col("share") >= FRAME_SHARE, F.struct("place", sure.alias("sure")))).alias("frame"))
+    known = attach(rows.drop("path"), frames, ["host"])
+    kind = rows.schema["page_id"].dataType.simpleString()
+    return known.mapInArrow(_told, f"page_id {kind}, url string, text string, n_chars long")

@@ -231,6 +231,44 @@ def test_differencing_removes_what_neighbours_share(pages):
     assert told == {1: "first & text", 2: "second text", 3: "", None: "", 4: "all of it"}
 
 
+def longest_common(left, right):
+    table = np.zeros((len(left) + 1, len(right) + 1), dtype=int)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
+    return table[-1, -1]
+
+
+def test_alignment_is_a_longest_common_subsequence():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        left, right = (rng.integers(0, rng.integers(2, 9), rng.integers(0, 30)).tolist() for _ in range(2))
+        own, other = map(sorted, page_difference.common_lines(left, right))
+        assert [left[i] for i in own] == [right[j] for j in other] and len(own) == longest_common(left, right)
+
+
+def host_pages(n, host="big.org"):
+    """Frames without telling names, of five kinds that alternate; every tenth article repeats one text."""
+    for k in range(n):
+        frame = "".join(f"<li>entry {k % 5} {j}" for j in range(4))
+        body = f"text of its own {k}</p><p>and more {k * k}" if k % 10 else "text that some pages quote</p><p>whole"
+        yield k, f"http://{host}/{k:04d}", f"<div><ul>{frame}</ul></div><p>{body}</p><div>mark {k % 7} of the site</div>"
+
+
+def test_frames_of_a_large_host_by_votes(spark, monkeypatch):
+    monkeypatch.setattr(page_difference, "BLOCK_PAGES", 40)
+    rows = [*host_pages(300), (900, "http://big.org/0007", list(host_pages(8))[7][2]), (901, "http://lone.org/", "<p>alone</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expected = {k: f"text of its own {k} and more {k * k}" if k % 10 else "text that some pages quote whole" for k in range(300)}
+    expected |= {900: expected[7], 901: "alone"}
+    for parts in (1, 7):
+        told = page_difference.main_texts(pages.repartition(parts))
+        assert {row["page_id"]: row["text"] for row in told.collect()} == expected
+    votes = {row["place"]: row for row in page_difference.path_votes(pages.selectExpr(
+        "*", "'h' AS host", "url AS path")).collect()}
+    assert votes["div>ul>li"]["share"] > 0.9 > 0.2 > votes["p"]["share"] and votes["p"]["pages"] >= 270
+
+
 @pytest.mark.parametrize(("markup", "expected"), [
     ("<main><div>lead</div><article>a<b>b</b> c</article><div class='related-posts'>x</div></main>", "ab c"),
     ("<main><p>one<p>two<aside>no</aside></main><div>no</div>", "one two"),
