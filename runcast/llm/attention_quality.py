@@ -10,21 +10,21 @@ with the least hash of their id). Scoring reads every whole text where it lies;
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.llm.common import unit_interval
+from runcast.session import materialize
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
-TRAIN_PASSAGES = 100_000
+TRAIN_PASSAGES, DOC_PASSAGES = 100_000, 256  # in all, and of one document (evenly spaced where it has more)
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH_DOCS, RATE, DECAY = 40, 64, 0.01, 1e-4
 BLOCK_BYTES = 1 << 20
@@ -195,9 +195,12 @@ def _bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in blocks(frame, "text"):
             features, doc = passage_features(rows["text"].tolist())
             first = np.searchsorted(doc, np.arange(len(rows) + 1))
-            yield pd.DataFrame({
-                "doc_id": rows["doc_id"], "label": rows["label"],
-                "bag": [features[first[i]:first[i + 1]].tobytes() for i in range(len(rows))]})
+            bags = []
+            for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                step = -(-(end - begin) // DOC_PASSAGES)
+                bags.append(features[begin:end:max(step, 1)])
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "label": rows["label"], "size": [len(bag) for bag in bags],
+                                "bag": [bag.tobytes() for bag in bags]})
 
 
 def blocks(frame: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
@@ -208,20 +211,24 @@ def blocks(frame: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_docs: int = TRAIN_DOCS) -> AttentionModel:
-    """Fit on at most ``max_docs`` labelled rows that are not held out (and about TRAIN_PASSAGES passages).
+    """Fit on at most ``max_docs`` labelled documents that are not held out, and TRAIN_PASSAGES passages of them.
 
-    Rows without an id, text or label are not learned from; an id with several labels counts for the least.
+    Rows without an id, text or label are not learned from; an id with several labels counts for the least,
+    one with several rows for the shortest. No document gives more than DOC_PASSAGES passages, so what comes
+    to the driver is bounded before it leaves the tasks, however long or often repeated a text is.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min(label_col).cast("double").alias("label")))
     sample = known.orderBy(unit_interval(F.col("doc_id"), "train"), "doc_id").limit(max_docs)
     rows = (docs.select("doc_id", "text").where("text is not null")
             .join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string"), "label", "text"))
-    bags = rows.mapInPandas(_bags, "doc_id string, label double, bag binary").toArrow().to_pandas()
-    bags["size"] = bags["bag"].str.len() // (4 * N_FEATURES)
-    bags["order"] = [zlib.crc32(name.encode()) for name in bags["doc_id"]]
-    bags = bags.sort_values(["order", "doc_id", "size", "label"], kind="stable")
-    bags = bags[bags["size"].cumsum() <= TRAIN_PASSAGES]
+    bags = rows.mapInPandas(_bags, "doc_id string, label double, size long, bag binary")
+    bags = materialize(bags.groupBy("doc_id").agg(F.min(F.struct("size", "bag", "label")).alias("own")).select(
+        "doc_id", F.crc32(F.col("doc_id").cast("binary")).alias("order"), "own.*"), "bags")
+    in_order = Window.orderBy("order", "doc_id")  # a row per sampled document, without its passages
+    sized = bags.select("doc_id", F.sum("size").over(in_order).alias("so_far"))
+    chosen = sized.where(F.col("so_far") <= TRAIN_PASSAGES).select("doc_id")
+    bags = bags.join(F.broadcast(chosen), "doc_id").toArrow().to_pandas().sort_values(["order", "doc_id"], kind="stable")
     if not len(bags):
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0, dtype=np.int64), np.zeros(0))
     features = np.frombuffer(b"".join(bags["bag"]), dtype=np.float32).reshape(-1, N_FEATURES)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from runcast.session import materialize
 
 # the multiplier of the generator in Lamping and Veach's jump hash, fixed value
 MULTIPLIER = 2862933555777941757
+COPIES = 1 << 16  # equal rows laid out by one row of a task
 SLICES = 4096  # slots are numbered within this many slices of a shard, so no shard is sorted by one task
 _MASK = (1 << 32) - 1
 _C_HIGH, _C_LOW1, _C_LOW0 = MULTIPLIER >> 32, (MULTIPLIER >> 16) & 0xFFFF, MULTIPLIER & 0xFFFF
@@ -38,6 +40,14 @@ def _step(high: Column, low: Column) -> tuple[Column, Column]:
     return _low32(carry + cross + own), _low32(low_sum)
 
 
+def stable_key(rows: DataFrame, key_col: str) -> Column:
+    """The 64-bit key of a column: whole numbers are their own, other types are hashed (XXH64); null is -1."""
+    column = F.col(key_col)
+    key = column.cast("long") if isinstance(rows.schema[key_col].dataType, IntegralType) else F.when(
+        column.isNotNull(), F.xxhash64(column))
+    return F.coalesce(key, _long(-1))
+
+
 def jump_shard(key: Column, n_shards: int) -> Column:
     """Shard 0..n_shards-1 of a 64-bit key. Null keys count as key -1.
 
@@ -71,7 +81,7 @@ def text_crc(text: Column) -> Column:
 
 def with_shards(rows: DataFrame, n_shards: int, key_col: str = "doc_id", shard_col: str = "shard") -> DataFrame:
     """Add the shard of every row; nothing moves. A column of that name is replaced."""
-    return rows.withColumn(shard_col, jump_shard(F.col(key_col), n_shards))
+    return rows.withColumn(shard_col, jump_shard(stable_key(rows, key_col), n_shards))
 
 
 def write_shards(rows: DataFrame, path: str, n_shards: int, key_col: str = "doc_id") -> None:
@@ -81,7 +91,7 @@ def write_shards(rows: DataFrame, path: str, n_shards: int, key_col: str = "doc_
 
 def _slice(key: Column, crc: Column) -> Column:
     """Where in its shard a row is numbered: decided by key and text, so copies of one key spread too."""
-    mixed = F.coalesce(key.cast("long"), _long(-1)).bitwiseAND(_long((1 << 40) - 1)) * _long(7919) + crc
+    mixed = key.bitwiseAND(_long((1 << 40) - 1)) * _long(7919) + crc
     return F.pmod(mixed, _long(SLICES)).cast("int")
 
 
@@ -89,15 +99,15 @@ def sharded_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """The contract's row of every document, law ``key``.
 
     Slots number the rows of a shard without gaps, by (slice, doc_id, text_crc32, size). Equal rows are
-    counted before they move and laid out again at the end, so a key that holds a third of all rows
-    reaches one task as one row per text. Counts of slices are at most ``n_shards * SLICES`` rows.
+    counted before they move and laid out again at the end, COPIES at a time, so a key that holds a third of
+    all rows reaches one task as one row per text. Ids of any type do (see ``stable_key``); an empty table gives no rows. Counts of slices are at most ``n_shards * SLICES`` rows.
     """
     narrow = docs.select("doc_id", text_size(F.col("text")).alias("size"), text_crc(F.col("text")).alias("text_crc32"))
     counted = materialize(
         narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
-        .withColumn("shard", jump_shard(F.col("doc_id"), n_shards))
-        .withColumn("grown_shard", jump_shard(F.col("doc_id"), n_shards + 1))
-        .withColumn("slice", _slice(F.col("doc_id"), F.col("text_crc32"))), "shards")
+        .withColumn("key", stable_key(narrow, "doc_id"))
+        .withColumns({"shard": jump_shard(F.col("key"), n_shards), "grown_shard": jump_shard(F.col("key"), n_shards + 1),
+                      "slice": _slice(F.col("key"), F.col("text_crc32"))}).drop("key"), "shards")
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counted.groupBy("shard", "slice").agg(F.sum("copies").alias("slice_rows"))
                .withColumn("offset", F.coalesce(F.sum("slice_rows").over(before), _long(0))).drop("slice_rows"))
@@ -105,10 +115,13 @@ def sharded_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = (counted.withColumn("rank", F.coalesce(F.sum("copies").over(within), _long(0)))
               .join(F.broadcast(offsets), ["shard", "slice"]))
+    columns = ["doc_id", "size", "text_crc32", "shard", "grown_shard"]
     first = F.col("offset") + F.col("rank")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
+    runs = placed.select(*columns, (first + F.col("copies")).alias("stop"), F.explode(F.sequence(
+        first, first + F.col("copies") - 1, _long(COPIES))).alias("first")).repartition("doc_id", "text_crc32", "first")
+    last = F.least(F.col("first") + COPIES, F.col("stop")) - 1
+    return runs.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+                       F.explode(F.sequence("first", last)).alias("slot"), "grown_shard")
 
 
 def oracle(n_shards: int = 40) -> str:

@@ -142,6 +142,27 @@ def test_jump_hash_moves_only_to_the_new_shard(spark):
     assert keys["s9"].value_counts().between(2000, 2450).all()
 
 
+def test_shards_of_string_ids_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(jump_shards, "COPIES", 100)
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("doc_id"),
+                                    F.lit("text").alias("text"))
+    got = jump_shards.sharded_documents(rows, 3).toPandas()
+    assert len(got) == 3000 and got.groupby("doc_id")["shard"].nunique().max() == 1
+    for _, shard in got.groupby("shard"):
+        assert sorted(shard["slot"]) == list(range(len(shard)))
+
+
+def test_a_huge_text_leaves_the_other_labels(spark, monkeypatch):
+    rows = [(n, " ".join(f"{'good' if n % 2 else 'bad!'}{k}" for k in range(80)), n % 2) for n in range(60)]
+    rows += [(1, "good " * 200_000, 1), (2, "bad! " * 200_000, 0)]
+    docs, labels = (spark.createDataFrame([(r[0], r[k]) for r in rows], f"doc_id long, {c}")
+                    for k, c in ((1, "text string"), (2, "quality int")))
+    monkeypatch.setattr(attention_quality, "TRAIN_PASSAGES", 600)
+    scored = attention_quality.scored_documents(docs, labels).toPandas()
+    held = scored[scored["held_out"]]
+    assert len(held) > 10 and (held["predicted"] == held["doc_id"] % 2).mean() > 0.9
+
+
 def test_raking_meets_its_margins(spark):
     rows = [(n, f"s{n % 3}", "en" if n % 4 else "xx", 1 + n % 7) for n in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long")
