@@ -28,9 +28,18 @@ def build_session(app_name: str = "runcast", **conf: str) -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, shared as well."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+
+    On a cluster a warehouse in a machine's own files is refused: executors could not see each other's tables.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    alone = spark.sparkContext.master.split("[")[0] == "local"
+    if not alone and warehouse.partition(":")[0] in ("file", warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is a machine's own")
+    return f"{warehouse}/_scratch"
 
 
 _handed_out: list[str] = []

@@ -1,10 +1,12 @@
 import gzip
 import json
 
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from runcast.operators import campaign, stats
+from runcast.session import scratch_folder
 from runcast.sources import mldata, runlogs, sinks
 
 
@@ -142,3 +144,28 @@ def test_libsvm(spark, tmp_path):
 def test_preview(spark, capsys):
     sinks.preview(spark.range(2))
     assert "id" in capsys.readouterr().out
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            values = {"spark.sql.warehouse.dir": "file:/opt/spark-warehouse"}
+
+            @classmethod
+            def get(cls, name, default=None):
+                return cls.values.get(name, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(Session)
+    Session.conf.values["spark.sql.warehouse.dir"] = "hdfs://store/warehouse/"
+    assert scratch_folder(Session) == "hdfs://store/warehouse/_scratch"
+    Session.conf.values["spark.checkpoint.dir"] = "file:///shared"
+    assert scratch_folder(Session) == "file:///shared"
