@@ -43,9 +43,8 @@ def op7_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = suffix_decontamination.find_matches(
+    return suffix_decontamination.find_matches(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return matches.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op9_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

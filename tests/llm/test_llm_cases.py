@@ -339,3 +339,45 @@ def test_kept_rows_against_all_pairs(spark):
                     group[b], changed = group[a], True
     left = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
     assert sorted(row["doc_id"] for row in left) == sorted(doc for doc in group if group[doc] == doc)
+
+
+def longest_by_hand(text, items, window=10):
+    best = (0, -1, None)
+    words = [w.decode() for w in suffix_decontamination.words_of(text)]
+    for name, item in items:
+        own = [w.decode() for w in suffix_decontamination.words_of(item)]
+        for at in range(len(words)):
+            for place in range(len(own)):
+                n = 0
+                while at + n < len(words) and place + n < len(own) and words[at + n] == own[place + n]:
+                    n += 1
+                if n and n >= min(window, len(own)) and (n, -at) > (best[0], -best[1]):
+                    best = (n, at, name)
+    return best
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_longest_matches_against_brute_force(spark, block_bytes):
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 3, n))
+    items = [(f"i{n:02d}", text(int(rng.integers(1, 30)))) for n in range(12)]
+    docs = [(n, text(40) if n % 3 else f"none here {n}") for n in range(30)] + [(1, "other " * 3), (None, None), (2, items[3][1])]
+    docs = [*docs, docs[4]]
+    frames = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    got = suffix_decontamination.find_matches(*frames, block_bytes=block_bytes).collect()
+    assert sorted(str((r["doc_id"], r["n_words"])) for r in got) == sorted(str((d, len((t or "").split()))) for d, t in docs)
+    told = {(r["doc_id"], r["n_words"]): r for r in got}
+    for doc_id, own in docs:
+        row = told[doc_id, len((own or "").split())]
+        assert (row["longest_match"], row["longest_at"], row["longest_item"]) == longest_by_hand(own or "", items)
+        hit, found = set(), set()
+        words = (own or "").split()
+        for name, item in items:
+            n = min(10, len(item.split()))
+            for a in range(len(words) - n + 1):
+                if any(words[a:a + n] == item.split()[b:b + n] for b in range(len(item.split()) - n + 1)):
+                    hit.update(range(a, a + n))
+                    found.add(name)
+        assert (row["n_hit"], row["n_items"], row["contaminated"]) == (len(hit), len(found), bool(hit))
+    clean = suffix_decontamination.remove_contaminated(*frames, block_bytes=block_bytes).collect()
+    assert sorted(str(tuple(r)) for r in clean) == sorted(str(d) for d in docs if longest_by_hand(d[1] or "", items)[0] == 0)
