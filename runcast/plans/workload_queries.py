@@ -8,7 +8,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runcast.operators import workloads
+from runcast.functions.features import MODEL_TERMS
+from runcast.operators import penalised, timemodel, workloads
 from runcast.plans import sqltext, views
 from runcast.plans.registry import query
 from runcast.session import scratch_path
@@ -142,6 +143,35 @@ def elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workloads.linear_terms(rows, workloads.linear_fit(rows)).withColumn("value", F.round("value", 5))
 
 
+_GROUP = ["workload", "instance_type"]
+_PENALTIES = [2.0, 0.6, 0.3, 0.05]
+
+
+@query("elastic_net_by_group", f"""WITH {sqltext.RUNS}, moments AS (
+  SELECT workload, instance_type, count(*) AS n, avg(machine) AS mx, avg(time) AS my, stddev_pop(machine) AS sx,
+         stddev_pop(time) AS sy, corr(machine, time) AS rho FROM runs GROUP BY ALL),
+slopes AS (
+  SELECT *, sign(rho) * greatest(abs(rho) - penalty / sy * 0.8, 0) / (1 + penalty / sy * (1 - 0.8)) * sy / sx AS slope
+  FROM moments CROSS JOIN (SELECT CAST(unnest({_PENALTIES}) AS DOUBLE) AS penalty) p)
+SELECT workload, instance_type, penalty, n, round(my - slope * mx, 6) AS intercept, round(slope, 6) AS slope FROM slopes""")
+def elastic_net_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one column each group's path has a closed form."""
+    paths = penalised.elastic_net_paths(views.runs(spark, sf_dir), _GROUP, ["machine"], "time", _PENALTIES)
+    return paths.select(*_GROUP, "penalty", "n", F.round("intercept", 6).alias("intercept"),
+                        F.round(F.get("coef", 0), 6).alias("slope"))
+
+
+@query("elastic_net_path", f"""WITH {sqltext.RUNS}
+SELECT workload, instance_type, CAST(unnest({_PENALTIES}) AS DOUBLE) AS penalty, TRUE AS optimal
+FROM (SELECT DISTINCT workload, instance_type FROM runs) g""")
+def elastic_net_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths over all terms of the time model; the conditions of an optimum are tried on the rows themselves."""
+    features = timemodel.model_features(views.runs(spark, sf_dir), _GROUP)
+    paths = penalised.elastic_net_paths(features, _GROUP, MODEL_TERMS[1:], "time", _PENALTIES)
+    gaps = penalised.optimality_gaps(features, paths, _GROUP, MODEL_TERMS[1:], "time")
+    return gaps.select(*_GROUP, "penalty", (F.col("gap") < 1e-7).alias("optimal"))
+
+
 @query("logistic_odds", """WITH rates AS (
   SELECT avg(CASE WHEN l_quantity > 25 THEN y END) AS p1, avg(CASE WHEN l_quantity <= 25 THEN y END) AS p0
   FROM (SELECT l_quantity, CASE WHEN l_extendedprice > 40000 THEN CAST(1 AS DOUBLE) ELSE 0 END AS y FROM lineitem) t)
