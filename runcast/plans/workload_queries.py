@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runcast.functions.features import MODEL_TERMS
-from runcast.operators import penalised, timemodel, workloads
+from runcast.operators import grouped_logistic, penalised, timemodel, workloads
 from runcast.plans import sqltext, views
 from runcast.plans.registry import query
-from runcast.session import scratch_path
+from runcast.session import materialize, scratch_path
 from runcast.sources import mldata
 
 _START = 4
@@ -281,3 +281,35 @@ def fit_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = workloads.time_workloads(spark, path, [0.5, 1.0])
     return samples.select("workload", "fraction", (F.col("cores") == spark.sparkContext.defaultParallelism).alias("cores_known"),
                           "machine", (F.col("time") > 0).alias("took_time"))
+
+
+def _priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a line is expensive, for every return flag and line number; the flag N is unknown here."""
+    return views.table(spark, sf_dir, "lineitem").select(
+        F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.col("l_linenumber").alias("line"),
+        (F.col("l_extendedprice") > 40000).cast("double").alias("dear"), (F.col("l_quantity") > 25).cast("double").alias("many"),
+        "l_quantity", "l_discount", "l_tax")
+
+
+@query("logistic_by_group", """WITH rates AS (
+  SELECT nullif(l_returnflag, 'N') AS flag, l_linenumber AS line, count(*) AS n, avg(CASE WHEN l_quantity > 25 THEN y END) AS p1,
+         avg(CASE WHEN l_quantity <= 25 THEN y END) AS p0
+  FROM (SELECT *, CASE WHEN l_extendedprice > 40000 THEN CAST(1 AS DOUBLE) ELSE 0 END AS y FROM lineitem) t GROUP BY ALL)
+SELECT flag, line, n, round(ln(p0 / (1 - p0)), 5) AS intercept, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 5) AS slope
+FROM rates WHERE p0 > 0 AND p0 < 1 AND p1 > 0 AND p1 < 1""")
+def logistic_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one yes/no column each group's fit must give the log odds; a group without them has no finite fit."""
+    fits = grouped_logistic.logistic_fits(_priced_lines(spark, sf_dir), ["flag", "line"], ["many"], "dear")
+    return fits.where("converged").select("flag", "line", "n", F.round("intercept", 5).alias("intercept"),
+                                          F.round(F.get("coef", 0), 5).alias("slope"))
+
+
+@query("logistic_optimality", """SELECT nullif(l_returnflag, 'N') AS flag, count(*) AS n, TRUE AS optimal
+FROM lineitem GROUP BY ALL""")
+def logistic_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of several columns, whose gradient on the rows themselves is nothing."""
+    lines, columns = _priced_lines(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"]
+    fits = materialize(grouped_logistic.logistic_fits(lines, ["flag"], columns, "dear"), "logistic-fits")
+    gaps = grouped_logistic.gradients(lines, fits, ["flag"], columns, "dear").withColumnRenamed("flag", "own")
+    both = fits.join(gaps, fits["flag"].eqNullSafe(gaps["own"]))
+    return both.select("flag", "n", (F.col("gap") < 1e-9).alias("optimal"))
