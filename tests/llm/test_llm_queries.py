@@ -85,6 +85,57 @@ def test_context_tree_base_and_score(spark, texts):
         assert row.score == pytest.approx(context_tree.text_logs(trees, [texts[row.doc_id]])[0], rel=1e-6)
 
 
+def test_weighting_against_recursion():
+    """One text's probability by the definition: every node mixes its own estimate with its children's product."""
+    texts, depth = ["abab abc\u00e9", "", "bbab", "abab abd"], context_tree.DEPTH
+    events = {}  # (bit-tree node, context newest first) -> zeros, ones at full depth
+    for text in texts:
+        raw = b"\xff" * depth + text.encode() + b"\xff"
+        for at in range(depth, len(raw)):
+            for bit in range(8):
+                node = (1 << bit) | (raw[at] >> (8 - bit))
+                events.setdefault((node, raw[at - depth:at][::-1]), [0, 0])[raw[at] >> (7 - bit) & 1] += 1
+
+    def kt(zeros, ones):
+        return (math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi))
+
+    def below(node, context):
+        return {c: n for (own, c), n in events.items() if own == node and c[:len(context)] == context}
+
+    def weighted(node, context):
+        found = below(node, context)
+        own = kt(*map(sum, zip(*found.values())))
+        if len(context) == depth:
+            return own
+        split = sum(weighted(node, context + bytes([b])) for b in {c[len(context)] for c in found})
+        return math.log(0.5) + max(own, split) + math.log1p(math.exp(-abs(own - split)))
+
+    def chance(node, context, at=0):
+        """Probability of a one after ``context``: each node's share of belief in itself, the rest from its child."""
+        zeros, ones = map(sum, zip(*below(node, context[:at]).values()))
+        own = (ones + 0.5) / (zeros + ones + 1)
+        if at == depth:
+            return own
+        share = math.exp(math.log(0.5) + kt(zeros, ones) - weighted(node, context[:at]))
+        rest = chance(node, context, at + 1) if below(node, context[:at + 1]) else 0.5
+        return share * own + (1 - share) * rest
+
+    runs, n = np.unique(context_tree.encode(texts)[0], return_counts=True)
+    by_depth = []
+    for d in range(depth + 1):
+        short, inverse = np.unique(runs & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        by_depth.append((short, np.bincount(inverse, weights=n)))
+    trees = context_tree.build_trees(by_depth)
+    for text in [*texts, "abd", "zzz", "bbb ab"]:
+        raw, expected = b"\xff" * depth + text.encode() + b"\xff", 0.0
+        for at in range(depth, len(raw)):
+            for bit in range(8):
+                node, context = (1 << bit) | (raw[at] >> (8 - bit)), raw[at - depth:at][::-1]
+                one = chance(node, context) if below(node, b"") else 0.5
+                expected += math.log10(one if raw[at] >> (7 - bit) & 1 else 1 - one)
+        assert context_tree.text_logs(trees, [text])[0] == pytest.approx(expected, rel=1e-5)
+
+
 def test_attention_quality_on_held_out(spark, tables):
     rows = queries.QUERIES["op3_attention_quality"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
     labels = check.connect("/root/testdata/sf0.01").sql("SELECT doc_id, quality FROM labels").df().set_index("doc_id")
