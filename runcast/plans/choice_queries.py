@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runcast.functions import sqlfunctions
 from runcast.operators import choice, timemodel
 from runcast.operators.keyed import attach
 from runcast.operators.ordered import as_of_join
@@ -199,3 +200,35 @@ def asof_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("l_orderkey", "l_linenumber", "workload", F.col("day").cast("string").alias("day"),
                          F.col("fitted").cast("string").alias("fitted"), "n",
                          F.round(F.col("base") + F.col("slope") * ratio, 5).alias("predicted"))
+
+
+# the same plans written in SQL, by the functions of the session
+
+@query("sql_features", f"""WITH {sqltext.RUNS}, {sqltext.FEATURES}
+SELECT l_orderkey, l_linenumber, workload, {', '.join(f'round(z{i}, 12) AS z{i}' for i in range(6))} FROM features""")
+def sql_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sqlfunctions.register(spark)
+    terms = ", ".join(f"round(terms[{i}], 12) AS z{i}" for i in range(6))
+    return spark.sql(f"""SELECT l_orderkey, l_linenumber, workload, {terms}
+        FROM (SELECT *, model_terms(cores, machine, fraction) AS terms FROM {{runs}})""", runs=views.runs(spark, sf_dir))
+
+
+@query("sql_predict_grid", f"{PREDICTIONS} SELECT workload, instance_type, machine, round(time, 4) AS time FROM predictions")
+def sql_predict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sqlfunctions.register(spark)
+    models = timemodel.fit_time_models(views.runs(spark, sf_dir), KEYS)
+    return spark.sql("""SELECT workload, instance_type, machine, round(predicted_time(coef, 2 * machine, machine, 1), 4) AS time
+        FROM (SELECT *, explode(sequence(1, 40)) AS machine FROM {models})""", models=models)
+
+
+@query("sql_cost", f"""{_OPTIONS}
+SELECT workload, instance_type, machine, round(time, 4) AS time, round(cost, 7) AS cost FROM options""")
+def sql_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sqlfunctions.register(spark)
+    models = timemodel.fit_time_models(views.runs(spark, sf_dir), KEYS)
+    return spark.sql("""WITH options AS (
+          SELECT workload, instance_type, machine, predicted_time(coef, 2 * machine, machine, 1) AS time
+          FROM (SELECT *, explode(sequence(1, 40)) AS machine FROM {models}))
+        SELECT o.workload, o.instance_type, o.machine, round(time, 4) AS time,
+               round(run_price(time, machine, hourly_price), 7) AS cost
+        FROM options o LEFT JOIN {prices} p ON o.instance_type = p.instance_type""", models=models, prices=_prices(spark, sf_dir))
