@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -54,7 +55,8 @@ def margin_targets(cells: DataFrame, dim: str, shares: Mapping[str, float] | flo
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Add ``weight``: the factor of a cell's tokens under which every marginal meets its target.
 
-    One round scales each dimension in turn, until nothing changes or ``rounds`` are done. Cells are few
+    One round scales each dimension in turn, until nothing changes or ``rounds`` are done; a warning tells of
+    the latter, where margins may be missed by the last change. Cells are few
     against documents; every scaling ends in a small written table, so plans stay as small as one
     grouping and one join. Cells without tokens keep their factor.
     """
@@ -76,6 +78,10 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
         raked = raked.drop("_last")
         if change is None or change <= TOLERANCE:
             break
+    else:
+        if rounds:
+            warnings.warn(f"raking has not settled in {rounds} rounds; the last one changed weights by up to {change:.1e}",
+                          RuntimeWarning, stacklevel=2)
     return raked.drop(*[f"_{dim}_target" for dim in targets])
 
 

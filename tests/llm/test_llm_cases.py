@@ -193,6 +193,15 @@ def test_secret_spans_and_redaction(spark, docs):
     assert found.select(secret_ownership.redact(F.col("text"), F.col("base"))).first()[0] == "a [secret] b"
 
 
+def test_raking_that_does_not_settle_is_told(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("a", "y", 1), ("b", "y", 10), ("c", "x", 4), ("c", "y", 7)],
+                                  "source string, lang string, tokens long")
+    targets = {"source": raking.margin_targets(cells, "source", {"a": 0.2, "b": 0.2, "c": 0.6}),
+               "lang": raking.margin_targets(cells, "lang", {"x": 0.7, "y": 0.3})}
+    with pytest.warns(RuntimeWarning, match="2 rounds"):
+        raking.rake(cells, targets, rounds=2)
+
+
 def test_running_totals(spark):
     rows = [(n, [(7 * i * i - 5) % 13 - 6 for i in range(n)]) for n in (0, 1, 2, 3, 10, 101)]
     df = spark.createDataFrame(rows, "n int, v array<bigint>")
