@@ -127,8 +127,9 @@ def design_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every design's runs are candidates, keep the budget, and stand in order of their weights."""
     problems = _problems(spark, sf_dir)
     chosen = materialize(design.design_runs(problems, KEYS), "chosen")
+    # Spark takes the candidates for as small as the problems they fan out from: unhinted, it broadcasts them all
     grid = design.candidates(problems).select("workload", "machine", F.round("fraction", 9).alias("f"), "cost", "budget")
-    placed = chosen.withColumn("f", F.round("fraction", 9)).join(grid, ["workload", "machine", "f"], "left")
+    placed = chosen.withColumn("f", F.round("fraction", 9)).join(grid.hint("merge"), ["workload", "machine", "f"], "left")
     before = F.lag("weight").over(Window.partitionBy("workload").orderBy("position"))
     placed = placed.withColumn("falls", F.coalesce(before >= F.col("weight"), F.lit(True)))
     return placed.groupBy("workload").agg(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runcast.functions import optimum
 from runcast.operators import design
+from runcast.plans import design_queries
 
 SCHEMA = ("min_parts int, max_parts int, total_parts int, min_machines int, max_machines int, "
           "cores_per_machine int, budget double, steps int")
@@ -170,3 +171,13 @@ def test_objectives_of_a_singular_matrix(spark):
     rows = design.design_features(design.candidates(problems(spark, (3, 20, 256, 1, 1, 2, 10.0, 4))))
     row = design.objectives(design.information(rows, design.PROBLEM, "1D")).first()
     assert row["log_det"] == float("-inf") and row["inverse_trace"] == float("inf")
+
+
+def test_candidates_of_all_problems_are_not_broadcast(spark, tmp_path):
+    """They fan out from the problems, so that Spark takes them for as small as those."""
+    rows = [(key, 1 + key % 50) for key in range(200)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    checked = design_queries.design_weights(spark, str(tmp_path))
+    assert "Broadcast" not in checked._jdf.queryExecution().executedPlan().toString()
+    told = checked.collect()
+    assert len(told) == 200 and all(r["from_candidates"] and r["within_budget"] and r["in_order"] for r in told)
