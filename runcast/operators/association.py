@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +109,17 @@ def best_grid_score(histogram: np.ndarray, power: float = GRID_POWER) -> float:
     return best
 
 
+def _score_cells(cells: DataFrame, keys: Sequence[str], score: Callable[[pa.Table], float]) -> DataFrame:
+    """``score`` of the cells of each group and feature. A task holds one group's cells at a time."""
+    kept = [*keys, "feature"]
+
+    def scored(group: pa.Table) -> pa.Table:
+        return group.slice(0, 1).select(kept).append_column("score", pa.array([score(group)], pa.float64()))
+
+    types = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in kept)
+    return spread(cells, *kept).groupBy(*kept).applyInArrow(scored, f"{types}, score double")
+
+
 def information_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str, *,
                        bins: int = BINS) -> DataFrame:
     """Best normalised mutual information over grids ``(feature, score)`` per group.
@@ -118,23 +129,12 @@ def information_scores(df: DataFrame, keys: Sequence[str], columns: Sequence[str
     row per group and feature (``bins`` squared at most) and is scored where it lies. An estimate from
     below: grid lines are not moved.
     """
-    cells = joint_histograms(df, keys, columns, target, bins=bins)
-    packed = spread(cells.groupBy(*keys, "feature").agg(
-        F.collect_list(F.col("bin_x") * bins + F.col("bin_y")).alias("at"), F.collect_list("n").alias("counts")),
-        *keys, "feature")
-    kept = [*keys, "feature"]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = []
-            for at, counts in zip(batch["at"], batch["counts"], strict=True):
-                flat = np.zeros(bins * bins)
-                flat[np.asarray(at, dtype=np.int64)] = counts
-                scores.append(best_grid_score(flat.reshape(bins, bins)))
-            yield batch[kept].assign(score=scores)
+    def score(cells: pa.Table) -> float:
+        histogram = np.zeros((bins, bins))
+        histogram[cells["bin_x"].to_numpy(), cells["bin_y"].to_numpy()] = cells["n"].to_numpy()
+        return best_grid_score(histogram)
 
-    types = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in kept)
-    return packed.mapInPandas(score, f"{types}, score double")
+    return _score_cells(joint_histograms(df, keys, columns, target, bins=bins), keys, score)
 
 
 # ---- grids whose lines move
@@ -248,40 +248,39 @@ def maximal_information(df: DataFrame, keys: Sequence[str], columns: Sequence[st
     places.
 
     Groups of up to ``small_group`` rows are gathered as they are; of larger ones only the joint counts of
-    the places are, which are no more than the places squared. Both give the same scores. A column without
+    the places are, which are no more than the places squared. A task holds one group at a time. Both give the
+    same scores. A column without
     two values scores 0; rows with a null on either side do not count; a group without any that count has no row
     for that column.
     """
-    sizes = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_held")), "group-sizes")
-    sized = attach(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*columns, target]]), sizes, keys, stored=True)
-    few, many = (sized.where(f"rows_held {sign} {small_group}").drop("rows_held") for sign in ("<=", ">"))
-    gathered = few.groupBy(*keys).agg(*[F.collect_list(F.coalesce(c, F.lit(float("nan")))).alias(c) for c in [*columns, target]])
+    held = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in [*columns, target]])
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + ", feature string, score double"
 
-    def score_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for feature in columns:
-                histograms = [_row_histogram(np.asarray(x, dtype=float), np.asarray(y, dtype=float))
-                              for x, y in zip(batch[feature], batch[target], strict=True)]
-                counted = np.array([h.size > 0 for h in histograms], dtype=bool)
-                scores = [moved_grid_score(h) for h in histograms if h.size]
-                yield batch.loc[counted, list(keys)].assign(feature=feature, score=scores)
-
-    def score_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = []
-            for x, y, counts in zip(batch["x"], batch["y"], batch["counts"], strict=True):
-                histogram = np.zeros((max(x) + 1, max(y) + 1), dtype=np.int64)
-                histogram[np.asarray(x), np.asarray(y)] = counts
-                scores.append(moved_grid_score(histogram))
-            yield batch[[*keys, "feature"]].assign(score=scores)
-
-    small = spread(gathered).mapInPandas(score_rows, types)
-    if sizes.where(f"rows_held > {small_group}").isEmpty():
-        return small
-    cells = joint_histograms(many, keys, columns, target, bins=line_places).groupBy(*keys, "feature").agg(
-        F.collect_list("bin_x").alias("x"), F.collect_list("bin_y").alias("y"), F.collect_list("n").alias("counts"))
-    return small.union(spread(cells).mapInPandas(score_cells, types))
+    def score_rows(group: pa.Table) -> pa.Table:
+        own = {c: group[c].to_numpy() for c in {*columns, target}}
+        histograms = {feature: _row_histogram(own[feature], own[target]) for feature in columns}
+        scores = {feature: moved_grid_score(h) for feature, h in histograms.items() if h.size}
+        told = group.select(list(keys)).take(pa.array([0] * len(scores), pa.int64()))
+        return told.append_column("feature", pa.array(list(scores), pa.string())).append_column(
+            "score", pa.array(list(scores.values()), pa.float64()))
+
+    def score_cells(cells: pa.Table) -> float:
+        x, y = (cells[c].to_numpy() for c in ("bin_x", "bin_y"))
+        histogram = np.zeros((x.max() + 1, y.max() + 1), dtype=np.int64)
+        histogram[x, y] = cells["n"].to_numpy()
+        return moved_grid_score(histogram)
+
+    def by_rows(rows: DataFrame) -> DataFrame:
+        return spread(rows, *keys).groupBy(*keys).applyInArrow(score_rows, types)
+
+    # only large groups are told apart: they are no more than the rows by small_group
+    large = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_held")).where(
+        F.col("rows_held") > small_group), "large-groups")
+    if large.isEmpty():
+        return by_rows(held)
+    sized = attach(held, large, keys, stored=True)
+    few, many = (sized.where(f"rows_held is {sign}").drop("rows_held") for sign in ("null", "not null"))
+    return by_rows(few).union(_score_cells(joint_histograms(many, keys, columns, target, bins=line_places), keys, score_cells))
 
 
 def informative_features(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -135,3 +135,16 @@ def test_moved_lines_of_empty_and_constant_columns(spark):
     got = {(r["g"], r["feature"]): r["score"] for r in association.maximal_information(rows, ["g"], ["x", "z"], "time").collect()}
     assert got == {(1, "x"): 0.0, (None, "x"): 1.0, (None, "z"): 0.0}
     assert association.maximal_information(rows.where("false"), ["g"], ["x"], "time").count() == 0
+
+
+def test_a_task_holds_one_group_at_a_time(spark):
+    """Batches of ten thousand groups with their joint counts are gigabytes."""
+    key = (1 << 60) + 1
+    rows = spark.createDataFrame([(key, float(i % 5), float(i % 5)) for i in range(20)] + [(None, 1.0, 2.0)],
+                                 "g bigint, x double, time double")
+    for score in (association.information_scores, association.maximal_information,
+                  lambda *args: association.maximal_information(*args, small_group=0)):
+        scored = score(rows, ["g"], ["x"], "time")
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "MapInPandas" not in plan
+        assert {(r["g"], r["feature"]) for r in scored.collect()} == {(key, "x"), (None, "x")}
