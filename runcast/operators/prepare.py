@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.functions.draws import digest, uniform
-from runcast.session import materialize, stored_bytes
+from runcast.session import input_bytes, materialize
 
 PARTITION_BYTES = 128 * 1024 * 1024
 
@@ -23,8 +23,11 @@ def sample_by_key(df: DataFrame, key: Column, fraction: float, seed: int = 17) -
 
 
 def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
-    """How many partitions of about ``bytes_each`` the input's files make, by the sizes Spark knows; at least one."""
-    return max(1, -(-stored_bytes(df) // bytes_each))
+    """How many partitions of about ``bytes_each`` the input's files make, by the sizes Spark knows; at least one.
+
+    What is sampled or left out later has to be read all the same, so that the files count whole.
+    """
+    return max(1, -(-input_bytes(df) // bytes_each))
 
 
 def at_most_partitions(df: DataFrame, count: int | None = None) -> DataFrame:

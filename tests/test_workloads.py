@@ -101,6 +101,13 @@ def test_partition_counts(spark):
     assert prepare.exactly_partitions(rows, 9).rdd.getNumPartitions() == 9
 
 
+def test_partitions_count_what_has_to_be_read(spark, tmp_path):
+    spark.range(0, 400_000, 1, 4).select("id", F.sha1(F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/rows")
+    rows, size = spark.read.parquet(f"{tmp_path}/rows"), sum(f.stat().st_size for f in tmp_path.glob("rows/*.parquet"))
+    for read in (rows, rows.select("id"), prepare.sample_rows(rows.select("id"), 0.01), rows.where("id < 0")):
+        assert prepare.partitions_for(read, size // 20) in (20, 21)
+
+
 def test_total_order(spark):
     rows = spark.range(1000).select(F.hash("id").alias("k"))
     found = [r["k"] for r in prepare.sorted_ranges(rows, "k").collect()]
