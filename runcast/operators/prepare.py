@@ -23,11 +23,11 @@ def sample_by_key(df: DataFrame, key: Column, fraction: float, seed: int = 17) -
 
 
 def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
-    """How many partitions of about ``bytes_each`` the input's files make, by the sizes Spark knows; at least one.
+    """How many partitions of about ``bytes_each`` the input's files make, by the sizes Spark knows; one per core at least.
 
     What is sampled or left out later has to be read all the same, so that the files count whole.
     """
-    return max(1, -(-input_bytes(df) // bytes_each))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // bytes_each))
 
 
 def at_most_partitions(df: DataFrame, count: int | None = None) -> DataFrame:

@@ -108,6 +108,12 @@ def test_partitions_count_what_has_to_be_read(spark, tmp_path):
         assert prepare.partitions_for(read, size // 20) in (20, 21)
 
 
+def test_input_of_many_files_is_prepared_on_all_cores(spark, tmp_path):
+    spark.range(0, 1000, 1, 64).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert prepare.prepare(rows, 0.1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 64
+
+
 def test_total_order(spark):
     rows = spark.range(1000).select(F.hash("id").alias("k"))
     found = [r["k"] for r in prepare.sorted_ranges(rows, "k").collect()]
