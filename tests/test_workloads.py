@@ -114,6 +114,14 @@ def test_input_of_many_files_is_prepared_on_all_cores(spark, tmp_path):
     assert prepare.prepare(rows, 0.1).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 64
 
 
+def test_one_column_of_a_table_is_cached_in_several_tasks(spark, tmp_path):
+    spark.range(0, 400_000, 1, 4).select("id", F.sha1(F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/rows")
+    kept, rows = prepare.load_into_cache(prepare.at_most_partitions(spark.read.parquet(f"{tmp_path}/rows").select("id")))
+    held = [r["n"] for r in kept.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    kept.unpersist()
+    assert rows == sum(held) == 400_000 and max(held) < rows
+
+
 def test_total_order(spark):
     rows = spark.range(1000).select(F.hash("id").alias("k"))
     found = [r["k"] for r in prepare.sorted_ranges(rows, "k").collect()]
