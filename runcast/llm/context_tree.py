@@ -5,10 +5,12 @@ over the bytes before it, up to DEPTH of them. Every tree node has the Krichevsk
 zeros and ones, and mixes it half and half with the product of its children, from the leaves up. With the
 corpus counted, the mixture of all depths along a path is one fixed probability per decision.
 
-Counting covers all training bytes: tasks count runs of DEPTH + 1 bytes, Spark sums them. A context gets its
-own leaf if the run of bytes has at least 1 / KEPT_PARTS of all counts; rarer ones share their parent's leaf
-for other contexts, so no count is lost, and the trees have at most (DEPTH + 1) * KEPT_PARTS runs whatever
-the corpus. That bound is what allows them to be sent to every task.
+Counting covers all bytes: tasks count runs of DEPTH + 1 bytes, Spark sums them, and runs that only texts held
+out have are listed with no count. No run is left out. Contexts that share their last SPLIT bytes are weighted
+together in one task, many such splits at a time, from the leaves up; Spark sums what they tell the shorter
+contexts, which are finished on the driver (at most 256 ** 2 * 255 nodes whatever the corpus, and no more than
+there are pairs of neighbouring bytes) and sent to the tasks that work out every run's probability. The most
+frequent runs are looked up where the texts lie; the others leave as (row, run, times) and are joined.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runcast.session import materialize
+from runcast.session import materialize, spread
 
 DEPTH = 5
-KEPT_PARTS = 1 << 23
+SPLIT = 3  # contexts are dealt out by so many bytes
+HELD_SPLITS = 1 << 19  # runs weighted at a time, if a split has no more
+COMMON_RUNS, TOLD_COUNTS = 1 << 21, 4096  # runs looked up at most, and counts told apart to choose them
 COMMON_PARTS = 1 << 17  # words with at least this share of all tokens are looked up, the others joined
 BLOCK_BYTES = 1 << 20
 # what a task holds of its counts before it hands them on
@@ -90,8 +94,10 @@ def _count_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for frame in frames:
         for rows in blocks(frame):
-            place, runs = pd.factorize(encode(rows["text"].tolist())[0])
-            held.append((runs, np.bincount(place, minlength=len(runs)).astype(np.int64)))
+            codes, starts = encode(rows["text"].tolist())
+            own = np.repeat(rows["learned"].to_numpy(dtype=np.float64), np.diff(np.append(starts, len(codes))))
+            place, runs = pd.factorize(codes)
+            held.append((runs, np.bincount(place, weights=own, minlength=len(runs)).astype(np.int64)))
             size += len(runs)
             if size > 2 * HELD_RUNS:
                 together = merged()
@@ -214,26 +220,156 @@ def build_trees(runs: list[tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
 
 
 def count_runs(docs: DataFrame) -> DataFrame:
-    """(run, n): all runs of DEPTH + 1 bytes of the texts (column ``text``), as integers."""
-    return (docs.select("text").mapInPandas(_count_runs, "run long, n long")
+    """(run, n): all runs of DEPTH + 1 bytes of the texts (column ``text``), as integers.
+
+    Only rows whose ``learned`` is true are counted; runs of no such row have n = 0.
+    """
+    return (docs.select("text", "learned").mapInPandas(_count_runs, "run long, n long")
             .groupBy("run").agg(F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame, kept_parts: int = KEPT_PARTS) -> ContextTrees:
-    """Trees over all rows of ``docs``. The rows collected are at most (DEPTH + 1) * kept_parts."""
-    runs = materialize(count_runs(docs), "runs")
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    shorter = F.array(*[F.struct(F.lit(depth).alias("depth"), F.col("run").bitwiseAND(
-        F.lit((1 << 8 * (depth + 1)) - 1)).alias("run")) for depth in range(DEPTH + 1)])
-    kept = (runs.select(F.explode(shorter).alias("r"), "n").groupBy("r.depth", "r.run").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= F.lit(total / kept_parts)).toArrow())  # columns, not a million row objects
-    depths, codes, n = (kept.column(name).to_numpy() for name in ("depth", "run", "n"))
-    by_depth = []
-    for depth in range(DEPTH + 1):
-        own = depths == depth
-        order = np.argsort(codes[own])
-        by_depth.append((codes[own][order], n[own][order].astype(np.float64)))
-    return build_trees(by_depth)
+def _shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes of these with a context of ``depth`` bytes."""
+    return (((keys >> 8) & ((1 << 8 * depth) - 1)) << 8) | (keys & 255)
+
+
+def _leaves(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (context, bit-tree node) keys of full depth, with their zeros and ones."""
+    byte, context = codes & 255, codes >> 8
+    keys = np.concatenate([(context << 8) | (1 << bit) | (byte >> (8 - bit)) for bit in range(8)])
+    ones = np.concatenate([n * ((byte >> (7 - bit)) & 1) for bit in range(8)])
+    own, place = np.unique(keys, return_inverse=True)
+    whole, ones = (np.bincount(place, weights=w, minlength=len(own)) for w in (np.tile(n, 8), ones))
+    return own, np.stack([whole - ones, ones], axis=1)
+
+
+def _told_above(keys: np.ndarray, counts: np.ndarray, weighted: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """The nodes of ``depth`` bytes above these: keys, counts and the weighted logarithms of all below."""
+    above, place = np.unique(_shorter(keys, depth), return_inverse=True)
+    zeros, ones, below = (np.bincount(place, weights=w, minlength=len(above)) for w in (*counts.T, weighted))
+    return above, np.stack([zeros, ones], axis=1), below
+
+
+Levels = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by depth: keys, counts, share of the own estimate
+
+
+def _climb(keys: np.ndarray, counts: np.ndarray, below: np.ndarray | None, depth: int, last: int) -> tuple[Levels, np.ndarray]:
+    """Weights from ``depth`` up to ``last``, and the weighted logarithms of the last."""
+    levels: Levels = {}
+    while True:
+        weighted, share = log_kt(*counts.T), np.ones(len(keys))
+        if below is not None:
+            estimate = weighted + np.log(0.5)
+            weighted = np.logaddexp(estimate, below + np.log(0.5))
+            share = np.exp(estimate - weighted)
+        levels[depth] = keys, counts, share
+        if depth == last:
+            return levels, weighted
+        depth -= 1
+        keys, counts, below = _told_above(keys, counts, weighted, depth)
+
+
+def _descend(levels: Levels, told: np.ndarray, left: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Per depth both log10 probabilities of a path that ends there, from what is told and left above the first."""
+    logs, above = [], None
+    for depth in sorted(levels):
+        keys, counts, share = levels[depth]
+        if above is not None:
+            place = np.searchsorted(above, _shorter(keys, depth - 1))
+            told, left = told[place], left[place]
+        told = told + left * share * (counts[:, 1] + 0.5) / (counts.sum(axis=1) + 1)
+        left, above = left * (1 - share), keys
+        end = np.clip(told + left * 0.5, 1e-12, 1 - 1e-12)  # a longer context that was never seen says one half
+        logs.append(np.log10(np.stack([1 - end, end], axis=1)).astype(np.float32))
+    return logs, told, left
+
+
+def _whole_splits(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, counts) in pieces of whole splits, from rows in order of their split."""
+    held, size, enough = [], 0, HELD_SPLITS
+    for frame in frames:
+        held.append((frame["run"].to_numpy(), frame["n"].to_numpy()))
+        size += len(frame)
+        if size < enough:
+            continue
+        codes, n = (np.concatenate(column) for column in zip(*held, strict=True))
+        split = (codes >> 8) & ((1 << 8 * SPLIT) - 1)
+        last = int(np.searchsorted(split, split[-1]))
+        if last:
+            yield codes[:last], n[:last]
+        held, size = [(codes[last:], n[last:])], len(codes) - last
+        enough = max(HELD_SPLITS, 2 * size)
+    if size:
+        codes, n = (np.concatenate(column) for column in zip(*held, strict=True))
+        yield codes, n
+
+
+def _split_levels(codes: np.ndarray, n: np.ndarray) -> tuple[Levels, np.ndarray]:
+    return _climb(*_leaves(codes[n > 0], n[n > 0]), None, DEPTH, SPLIT)
+
+
+def _weigh_splits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for codes, n in _whole_splits(frames):
+        levels, weighted = _split_levels(codes, n)
+        keys, counts, below = _told_above(*levels[SPLIT][:2], weighted, SPLIT - 1)
+        yield pd.DataFrame({"node": keys, "zeros": counts[:, 0], "ones": counts[:, 1], "below": below})
+
+
+def train(runs: DataFrame) -> DataFrame:
+    """(run, n, log): the log10 probability of the last byte of every counted run (``count_runs``), given those before."""
+    split = F.shiftright("run", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1))
+    dealt = spread(runs.withColumn("split", split), "split").sortWithinPartitions("split").select("run", "n")
+    told = dealt.mapInPandas(_weigh_splits, "node long, zeros double, ones double, below double").groupBy("node").agg(
+        *[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow().sort_by("node")
+    nodes, zeros, ones, below = (told.column(c).to_numpy() for c in ("node", "zeros", "ones", "below"))
+    levels = {depth: (nodes[:0], np.zeros((0, 2)), zeros[:0]) for depth in range(SPLIT)}
+    if len(nodes):
+        levels = _climb(nodes, np.stack([zeros, ones], axis=1), below, SPLIT - 1, 0)[0]
+    logs, told_above, left_above = _descend(levels, np.zeros(len(levels[0][0])), np.ones(len(levels[0][0])))
+    shared = runs.sparkSession.sparkContext.broadcast(([levels[d][0] for d in range(SPLIT)], logs, told_above, left_above))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, logs, told, left = shared.value
+        for codes, n in _whole_splits(frames):
+            own = _split_levels(codes, n)[0]
+            above = np.searchsorted(keys[-1], _shorter(own[SPLIT][0], SPLIT - 1))
+            below = _descend(own, told[above], left[above])[0]
+            trees = ContextTrees([*keys, *(own[d][0] for d in range(SPLIT, DEPTH + 1))], [*logs, *below], codes[:0], np.zeros(0))
+            yield pd.DataFrame({"run": codes, "n": n, "log": trees._decide(codes)})
+
+    return dealt.mapInPandas(score, "run long, n long, log double")
+
+
+def frequent_runs(scored: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` of the most frequent runs, sorted, and their logs: all that have a count or none that has it."""
+    kinds = scored.groupBy(F.least("n", F.lit(TOLD_COUNTS)).alias("n")).agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("all"))
+    told = sorted((row["n"], row["runs"], row["all"]) for row in kinds.collect())
+    least, held = sum(row[2] for row in told) / max(most, 1) + 1, 0  # no more than ``most`` can have so many
+    for n, runs, _ in reversed(told):
+        held += runs
+        if held > most:
+            break
+        least = n
+    found = scored.where(F.col("n") >= F.lit(least)).select("run", "log").toArrow()
+    runs, logs = (found.column(c).to_numpy() for c in ("run", "log"))
+    order = np.argsort(runs)
+    return runs[order], logs[order]
+
+
+def _score_parts(runs: np.ndarray, logs: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, list, list]:
+    """Per text the sum over the frequent runs, and the other runs with how often they occur."""
+    codes, starts = encode(texts)
+    place, distinct = pd.factorize(codes, sort=True)  # a code is looked up once a block, in order
+    at = np.minimum(np.searchsorted(runs, distinct), max(len(runs) - 1, 0))
+    known = runs[at] == distinct if len(runs) else np.zeros(len(distinct), dtype=bool)
+    own = np.zeros(len(distinct))
+    own[known] = logs[at[known]]
+    rare = np.flatnonzero(~known[place])
+    text = np.searchsorted(starts, rare, side="right") - 1
+    pairs, times = np.unique(text * len(distinct) + place[rare], return_counts=True)
+    cuts = np.searchsorted(pairs, np.arange(1, len(texts)) * len(distinct))
+    return (np.add.reduceat(own[place], starts), np.split(distinct[pairs % max(len(distinct), 1)], cuts),
+            np.split(times.astype(np.int32), cuts))
 
 
 def text_logs(trees: ContextTrees, texts: list[str | None]) -> np.ndarray:
@@ -250,12 +386,12 @@ def bits_per_byte(score: Column, text: Column) -> Column:
     return -score / F.lit(np.log10(2.0)) / (F.coalesce(F.octet_length(text), F.lit(0)) + 1)
 
 
-def scored_documents(docs: DataFrame) -> DataFrame:
+def scored_documents(docs: DataFrame, common_runs: int = COMMON_RUNS) -> DataFrame:
     """The contract's row of every document; null texts are empty, null ids count as empty text for the split.
 
     The unigram base needs every word's count. Words that make up at least 1 / COMMON_PARTS of all tokens
     (so at most COMMON_PARTS of them) are looked up in the task; the rest leave as (row, word, times) and
-    are joined to the counts, so no vocabulary has to fit anywhere.
+    are joined to the counts, so no vocabulary has to fit anywhere. The score's runs of bytes go the same two ways.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
@@ -267,14 +403,16 @@ def scored_documents(docs: DataFrame) -> DataFrame:
     tokens, kinds = int(told["tokens"]), int(told["kinds"])
     common = words.where(F.col("c") >= F.lit(max(tokens / COMMON_PARTS, 1.0))).toArrow()
     logs = np.log10(common.column("c").to_numpy() + 1.0).tolist()
-    shared = spark.sparkContext.broadcast((train(learned), dict(zip(common.column("word").to_pylist(), logs, strict=True))))
+    counted = materialize(count_runs(rows.select("text", (~F.col("held_out")).alias("learned"))), "runs")
+    runs = materialize(train(counted), "run-logs")
+    shared = spark.sparkContext.broadcast((frequent_runs(runs, common_runs), dict(zip(common.column("word").to_pylist(), logs, strict=True))))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, logs = shared.value
+        frequent, logs = shared.value
         for frame in frames:
             for part in blocks(frame):
                 out = part.drop(columns="text")
-                out["score"] = text_logs(trees, part["text"].tolist())
+                out["score"], out["rare_runs"], out["run_times"] = _score_parts(*frequent, part["text"].tolist())
                 base = zip(*(_base_parts(text, logs) for text in part["text"]), strict=True)
                 for name, values in zip(("n_tokens", "n_common", "common_logs", "rare", "times"), base, strict=True):
                     out[name] = values
@@ -282,17 +420,21 @@ def scored_documents(docs: DataFrame) -> DataFrame:
 
     passed = materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "*").mapInPandas(
         score, "uid long, doc_id string, held_out boolean, score double, n_tokens long, n_common long, "
-               "common_logs double, rare array<binary>, times array<int>"), "scores")
+               "common_logs double, rare array<binary>, times array<int>, rare_runs array<long>, run_times array<int>"), "scores")
     rare = passed.where(F.size("rare") > 0).select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "uid", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     rare = rare.join(words, "word").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.sum("times").alias("n_rare"))
+    deep = passed.where(F.size("rare_runs") > 0).select("uid", F.explode(F.arrays_zip("rare_runs", "run_times")).alias("r")).select(
+        "uid", F.col("r.rare_runs").alias("run"), F.col("r.run_times").alias("times"))
+    deep = deep.join(runs.select("run", "log"), "run").groupBy("uid").agg(F.sum(F.col("times") * F.col("log")).alias("deep"))
     base = (F.col("common_logs") + F.coalesce("rare_logs", F.lit(0.0))
             - F.col("n_tokens") * F.log10(F.lit(float(tokens + kinds + 1))))
-    return passed.join(rare, "uid", "left").select(
+    return passed.join(rare, "uid", "left").join(deep, "uid", "left").select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"))
 
 
 def _base_parts(text: str | None, logs: dict[bytes, float]) -> tuple[int, int, float, list[bytes], list[int]]:

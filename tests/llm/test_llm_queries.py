@@ -169,3 +169,30 @@ def test_quality_rules_counts(spark, texts):
         assert row["n_dup_lines"] == len(lines) - len(set(lines))
         assert row["base_failed"] == (len(own) < 20 or 100 * len(covered) > 30 * len(own))
         assert not (row["kept"] and row["base_failed"])
+
+
+def test_context_trees_keep_rare_runs(spark):
+    """Runs of one count beside one of a thousand million, and runs of texts held out; weighted in tasks as in one place."""
+    texts = ["abab abc\u00e9", "", "bbab", "abab abd"] + [f"{i * 7919 % 1000} abc {i}" for i in range(60)]
+    codes, n = np.unique(context_tree.encode(texts)[0], return_counts=True)
+    n = n.astype(np.int64)
+    n[5] = 1 << 30
+    unseen = np.setdiff1d(context_tree.encode(["zab abd", "abc 77\u00e9"])[0], codes)
+    table = [(int(run), int(times)) for run, times in [*zip(codes, n, strict=True), *((run, 0) for run in unseen)]]
+    by_depth = []
+    for depth in range(context_tree.DEPTH + 1):
+        short, place = np.unique(codes & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        by_depth.append((short, np.bincount(place, weights=n)))
+    trees = context_tree.build_trees(by_depth)
+    got = {row["run"]: row["log"] for row in context_tree.train(spark.createDataFrame(table, "run long, n long")).collect()}
+    assert got.keys() == {run for run, _ in table}
+    asked = np.array(sorted(got))
+    assert np.allclose([got[run] for run in asked.tolist()], trees.byte_logs(asked), rtol=1e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("common", [0, 3, 400])
+def test_runs_of_bytes_looked_up_or_joined_score_alike(spark, common):
+    docs = spark.createDataFrame([(i, f"text {i % 9} of {i * 31 % 17}") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    whole, joined = ({row["doc_id"]: row["score"] for row in context_tree.scored_documents(docs, **own).collect()}
+                     for own in ({}, {"common_runs": common}))
+    assert whole.keys() == joined.keys() and all(joined[doc] == pytest.approx(score, rel=1e-9) for doc, score in whole.items())
