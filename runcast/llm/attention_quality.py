@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runcast.llm.common import unit_interval
-from runcast.session import materialize
+from runcast.session import in_small_batches, materialize
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 6000
 TRAIN_PASSAGES, DOC_PASSAGES = 100_000, 256  # in all, and of one document (evenly spaced where it has more)
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH_DOCS, RATE, DECAY = 40, 64, 0.01, 1e-4
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18  # of text; the arrays made of it take some 70 times as much
 HELD_OUT = (3, 1)  # a row whose id's checksum has this remainder is never learned from
 
 
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_do
     sample = known.orderBy(unit_interval(F.col("doc_id"), "train"), "doc_id").limit(max_docs)
     rows = (docs.select("doc_id", "text").where("text is not null")
             .join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string"), "label", "text"))
-    bags = rows.mapInPandas(_bags, "doc_id string, label double, size long, bag binary")
+    bags = in_small_batches(rows).mapInPandas(_bags, "doc_id string, label double, size long, bag binary")
     bags = materialize(bags.groupBy("doc_id").agg(F.min(F.struct("size", "bag", "label")).alias("own")).select(
         "doc_id", F.crc32(F.col("doc_id").cast("binary")).alias("order"), "own.*"), "bags")
     in_order = Window.orderBy("order", "doc_id")  # a row per sampled document, without its passages
@@ -252,7 +252,7 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    scored = rows.mapInPandas(score, "doc_id string, held_out boolean, score double")
+    scored = in_small_batches(rows).mapInPandas(score, "doc_id string, held_out boolean, score double")
     return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -267,4 +267,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
             scores = [score_texts(model.value, rows["text"].tolist()) for rows in blocks(texts, "text")]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) >= threshold))
 
-    return docs.mapInArrow(good, docs.schema)
+    return in_small_batches(docs).mapInArrow(good, docs.schema)

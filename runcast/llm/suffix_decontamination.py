@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runcast.operators.keyed import attach
-from runcast.session import materialize
+from runcast.session import in_small_batches, materialize
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -238,7 +238,7 @@ def _found_by_blocks(docs: DataFrame, indices: Iterator[BenchmarkIndex]) -> Data
                     yield part.loc[hit, ["doc_id", "digest"]].assign(
                         **{name: [getattr(own, name) for own in found if own.starts] for name in _PART_NAMES})
 
-        once = rows.mapInPandas(search, f"doc_id string, digest string, {_PART}")
+        once = in_small_batches(rows).mapInPandas(search, f"doc_id string, digest string, {_PART}")
         whole = F.first(F.struct(*_PART_NAMES)).alias("part")  # repeated rows have found the same
         written.append(materialize(once.groupBy("doc_id", "digest").agg(whole), "found"))
         shared.unpersist()
@@ -268,7 +268,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
                 yield out
 
         rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return rows.mapInPandas(search, f"doc_id string, {MATCH_SCHEMA}").withColumn("doc_id", F.col("doc_id").cast(kind))
+        return in_small_batches(rows).mapInPandas(search, f"doc_id string, {MATCH_SCHEMA}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -283,9 +283,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
         for frame in frames:
             yield frame[["doc_id", "digest"]].assign(n_words=[len(words_of(text)) for text in frame["text"]])
 
-    every = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-                        .alias("digest"), F.col("text").cast("string").alias("text")).mapInPandas(
-        count, "doc_id string, digest string, n_words long")
+    every = in_small_batches(docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
+        F.col("text").cast("string").alias("text"))).mapInPandas(count, "doc_id string, digest string, n_words long")
     none = dict(zip(_TOLD, told([]), strict=True))
     joined = attach(every, merged, ["doc_id", "digest"])
     return joined.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", *[
@@ -311,7 +311,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
                     for own in search_shard(part["text"].tolist(), shared.value)[1]]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return in_small_batches(docs).mapInArrow(clean, docs.schema)
 
 
 ORACLE = r"""

@@ -1,8 +1,11 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing column names, operator by operator."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,3 +395,37 @@ def test_longest_matches_against_brute_force(spark, block_bytes):
         assert (row["n_hit"], row["n_items"], row["contaminated"]) == (len(hit), len(found), bool(hit))
     clean = suffix_decontamination.remove_contaminated(*frames, block_bytes=block_bytes).collect()
     assert sorted(str(tuple(r)) for r in clean) == sorted(str(d) for d in docs if longest_by_hand(d[1] or "", items)[0] == 0)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    items = spark.createDataFrame([(1, "no such passage")], "item_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["n"])
+
+    def largest():
+        return max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect())
+
+    for use in (lambda: simhash_groups.with_fingerprints(texts), lambda: attention_quality.keep_good(texts, marks),
+                lambda: attention_quality.scored_documents(texts, marks),
+                lambda: suffix_decontamination.remove_contaminated(texts, items),
+                lambda: suffix_decontamination.find_matches(texts, items)):
+        spark.conf.unset(key)
+        assert use().columns and largest() < 5_000_000  # 40 MB in all
+    spark.conf.set(key, "1000000")
+    assert simhash_groups.with_fingerprints(texts).count() == 400 and largest() < 2_000_000
+    spark.conf.unset(key)
+
+
+def test_passages_are_scored_in_blocks_of_bounded_memory():
+    frame = pd.DataFrame({"text": ["some words of a text, and more of them. " * 5_000] * 10})
+    tracemalloc.start()
+    for rows in attention_quality.blocks(frame, "text"):
+        attention_quality.passage_features(rows["text"].tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
